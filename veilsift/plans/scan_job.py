@@ -8,6 +8,7 @@ the checkpoint, so a source is read once whatever is asked of it.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -101,13 +102,18 @@ class ScanResult:
         return report.risk_gate(self.findings, fail_on, errors, self.dry_run).first()["status"]
 
 
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``; a
+    temporary one only where the session names none, as in local tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{shared or tempfile.mkdtemp(prefix='veilsift-')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder (``spark.checkpoint.dir``); a
-    folder of our own only where the session names none."""
+    """A reliable checkpoint of masked rows, so that lost executors cost no rescan."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilsift-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import path_matches
-from ..operators.scan import redacted
+from ..operators.scan import as_units, redacted
 from .csv_cells import CELLS_SCHEMA, csv_batches
 from .lines import HAS_TEXT, lines_in
 
