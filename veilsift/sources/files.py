@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.globs import path_matches
 from ..operators.scan import as_units, redacted
@@ -255,7 +256,7 @@ def read_objects(
 # ----------------------------------------------------------------- decode, cut
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_utf16(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-16", "replace"))
 

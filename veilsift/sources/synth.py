@@ -42,7 +42,7 @@ def with_check_digit(body: Column) -> Column:
         body,
         """body -> concat(body, cast((10 - aggregate(sequence(1, length(body)), 0, (total, i) -> total +
             if((length(body) - i) % 2 = 0,
-               int(substr(body, i, 1)) * 2 div 10 + int(substr(body, i, 1)) * 2 % 10,
+               int(int(substr(body, i, 1)) * 2 div 10) + int(substr(body, i, 1)) * 2 % 10,
                int(substr(body, i, 1)))) % 10) % 10 as string))""",
     )
 
