@@ -46,11 +46,16 @@ def location_long(line: Column, offset: Column, column_name: Column, row: Column
 def human_size(size: Column) -> Column:
     """Bytes as B, KB, MB or GB."""
     amount = size.cast("double")
+
+    def shown(unit: str, power: int) -> Column:
+        # ties go to the even digit, as in Python and unlike in Java's format
+        return F.format_string(f"%.1f {unit}", F.bround(amount / 1024**power, 1))
+
     return (
         F.when(amount < 1024, F.format_string("%.0f B", amount))
-        .when(amount < 1024**2, F.format_string("%.1f KB", amount / 1024))
-        .when(amount < 1024**3, F.format_string("%.1f MB", amount / 1024**2))
-        .otherwise(F.format_string("%.1f GB", amount / 1024**3))
+        .when(amount < 1024**2, shown("KB", 1))
+        .when(amount < 1024**3, shown("MB", 2))
+        .otherwise(shown("GB", 3))
     )
 
 

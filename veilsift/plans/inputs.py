@@ -220,10 +220,13 @@ DERIVED: dict[str, tuple[str, list[list[str]]]] = {
             ["k", "token", "'secret=\"' || token || '\"' as text"],
         ],
     ),
-    # a card that is also the tail of something phone-shaped
+    # fifteen digits that read as a phone number, and now and then as a card too
     "overlap_texts": (
-        "card_texts",
-        [["k", "replace(replace(text, 'paid by ', 'call +1 (212) 555-0123 or +'), '.', ' ') as text"]],
+        "orders",
+        [
+            ["o_orderkey as k", f"'37' || {_padded('o_orderkey * 7907', 13)} as n"],
+            ["k", "n", "'user u' || cast(k as string) || '@example.com call +' || n || ' or 10.0.0.' || cast(k % 400 as string) as text"],
+        ],
     ),
     # people with an address, a card and an SSN in one sentence
     "profile_texts": (

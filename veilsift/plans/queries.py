@@ -101,8 +101,9 @@ CUSTOM_ID_PYTHON = CUSTOM_ID | {"name": "part_no_py", "regex": r"\bPX-(?:\d{2})+
 
 
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card wins over a phone number, which wins where the card is no card."""
     found = scan_units(derived_units(spark, sf_dir, "overlap_texts"), all_detectors())
-    return found.groupBy("data_type", "subtype").agg(F.count("*").alias("findings"))
+    return found.select("source", "offset", "data_type", "subtype", "masked_value")
 
 
 # ----------------------------------------------------------- functions, checks
