@@ -1,7 +1,7 @@
 """Span algebra on string columns.
 
-A *span* is ``struct<start int, end int, value string, subtype string>`` with
-0-based half-open code-point offsets.  Everything here is a Catalyst expression:
+A *span* is ``struct<start, end, value, subtype, data_type>`` with 0-based half-open
+code-point offsets.  Everything here is a Catalyst expression:
 no Python runs per row and nothing shuffles.
 """
 
@@ -12,8 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "struct<start:int,end:int,value:string,subtype:string>"
-MATCH = "struct<start:int,end:int,value:string,subtype:string,data_type:string>"
+SPAN = "struct<start:int,end:int,value:string,subtype:string,data_type:string>"
 PIECE = "struct<base:int,lead:int,body_len:int,text:string>"
 
 # Two Unicode noncharacters: never word, digit or space, so swapping one for the
@@ -36,8 +35,8 @@ def let(value: Column, body: Callable[[Column], Column] | str) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def no_spans(element: str = SPAN) -> Column:
-    return F.expr(f"cast(array() as array<{element}>)")
+def no_spans() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def record(**fields: Column) -> Column:
@@ -46,41 +45,56 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
 
 
-def span(start: Column, end: Column, value: Column, subtype: Column | None = None) -> Column:
+def span(
+    data_type: str, start: Column, end: Column, value: Column, subtype: Column | None = None
+) -> Column:
     return record(
         start=start.cast("int"),
         end=end.cast("int"),
         value=value,
         subtype=(F.lit(None) if subtype is None else subtype).cast("string"),
+        data_type=F.lit(data_type),
     )
 
 
-_PLACE = f"""parts -> aggregate(
-    sequence(0, size(parts) div 2 - 1),
-    named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>)),
-    (acc, i) -> named_struct(
-        'pos', acc.pos + length(parts[2 * i]) + length(parts[2 * i + 1]),
-        'out', concat(acc.out, array(named_struct(
-            'start', acc.pos + length(parts[2 * i]),
-            'end', acc.pos + length(parts[2 * i]) + length(parts[2 * i + 1]),
-            'value', parts[2 * i + 1],
-            'subtype', cast(%s as string))))),
-    acc -> acc.out)"""
+def _at(start: str, part: str) -> str:
+    return (
+        f"named_struct('start', {start}, 'end', {start} + length({part}), 'value', {part}, "
+        "'subtype', cast(%(subtype)s as string), 'data_type', %(data_type)s)"
+    )
+
+
+# one match is the common case and needs no fold
+_PLACE = f"""m -> if(not contains(m, '{_MARK}'), cast(array() as array<{SPAN}>), transform(array(split(m, '{_MARK}', -1)),
+    parts -> if(size(parts) = 3, array({_at("length(parts[0])", "parts[1]")}), aggregate(
+        sequence(0, size(parts) div 2 - 1),
+        named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>)),
+        (acc, i) -> named_struct(
+            'pos', acc.pos + length(parts[2 * i]) + length(parts[2 * i + 1]),
+            'out', concat(acc.out, array({_at("acc.pos + length(parts[2 * i])", "parts[2 * i + 1]")}))),
+        acc -> acc.out)))[0])"""
+
 
+def _quoted(text: str | None) -> str:
+    return "null" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def find_spans(text: Column, pattern: str, subtype: str | None = None) -> Column:
+
+def find_spans(text: Column, pattern: str, data_type: str, subtype: str | None = None) -> Column:
     """All leftmost non-overlapping matches of a Java regex, with offsets.
 
     One ``regexp_replace`` brackets each match with a marker and one literal
     ``split`` yields gap, match, gap, ... ; a fold adds up the lengths.  A
     rejected match still consumes its text, as with any regex iterator.
+    The text must be :func:`unmarked`.
     """
-    marked = F.regexp_replace(
-        F.replace(text, F.lit(_MARK), F.lit(_STAND_IN)), pattern, f"{_MARK}$0{_MARK}"
-    )
-    name = "null" if subtype is None else "'" + subtype.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    found = let(F.split(marked, _MARK, -1), _PLACE % name)
-    return F.when(text.rlike(pattern), found).otherwise(no_spans())
+    names = {"subtype": _quoted(subtype), "data_type": _quoted(data_type)}
+    marked = F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}")
+    return F.coalesce(let(marked, _PLACE % names), no_spans())
+
+
+def unmarked(text: Column) -> Column:
+    """A text in which the marker stands for nothing else; same length, same matches."""
+    return F.replace(text, F.lit(_MARK), F.lit(_STAND_IN))
 
 
 def keep(spans: Column, test: Callable[[Column], Column]) -> Column:
@@ -112,21 +126,26 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def tag(spans: Column, data_type: str) -> Column:
-    """Turn spans into matches by adding the detector's name."""
-    return F.transform(spans, lambda s: s.withField("data_type", F.lit(data_type)))
+def resolve(found: Column) -> Column:
+    """First accepted wins, in the order given; output ordered by start.
 
-
-def resolve(candidates: Column) -> Column:
-    """First accepted wins, in the order given; output ordered by start."""
-    return let(
-        candidates,
-        f"""found -> if(size(found) < 2, found, array_sort(aggregate(
-            found,
-            cast(array() as array<{MATCH}>),
-            (kept, m) -> if(exists(kept, k -> k.start < m.end and m.start < k.end), kept,
-                            concat(kept, array(m))))))""",
-    )
+    ``found`` should be a plain column.  Most units hold no or one candidate, or some
+    that do not touch: those are passed on or only sorted.
+    """
+    several = F.call_function(
+        "transform",
+        F.array(found),
+        F.expr(
+            f"""found -> transform(array(array_sort(found)), placed ->
+            if(aggregate(placed, 0, (last, m) -> if(m.start < last, {1 << 30}, m.end)) < {1 << 30}, placed,
+               array_sort(aggregate(
+                   found,
+                   cast(array() as array<{SPAN}>),
+                   (kept, m) -> if(exists(kept, k -> k.start < m.end and m.start < k.end), kept,
+                                   concat(kept, array(m)))))))[0]"""
+        ),
+    )[0]
+    return F.when(F.size(found) < 2, found).otherwise(several)
 
 
 def pieces(text: Column, margin: int) -> Column:
@@ -161,16 +180,20 @@ def pieces(text: Column, margin: int) -> Column:
     return F.when(F.length(text) > PIECE_CHARS, cut).otherwise(whole)
 
 
-def inside(piece: Column, matches: Column) -> Column:
-    """Matches in the body of a piece, with offsets relative to the whole unit."""
-    both = record(p=piece, found=matches)
-    return let(
-        both,
-        """b -> if(b.p.base = 0 and b.p.lead = 0 and b.p.body_len = length(b.p.text), b.found, transform(
+def inside(piece: Column, found: Column) -> Column:
+    """Matches in the body of a piece, with offsets relative to the whole unit.
+
+    Both arguments should be plain columns: the expression refers to them twice.
+    """
+    whole = (piece["base"] == 0) & (piece["lead"] == 0) & (piece["body_len"] == F.length(piece["text"]))
+    shifted = let(
+        record(p=piece, found=found),
+        """b -> transform(
             filter(b.found, m -> m.start >= b.p.lead and m.end <= b.p.lead + b.p.body_len),
             m -> named_struct('start', m.start + b.p.base, 'end', m.end + b.p.base,
-                              'value', m.value, 'subtype', m.subtype, 'data_type', m.data_type)))""",
+                              'value', m.value, 'subtype', m.subtype, 'data_type', m.data_type))""",
     )
+    return F.when(whole, found).otherwise(shifted)
 
 
 def splice(text: Column, found: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions.masks import mask_key
 from ..functions.spans import find_spans, keep, let, no_spans, overlaps
 from .detector import Detector
 
+NAME = "api_key"
 GENERIC = "high_entropy_string"
 
 # The provider formats, in order.
@@ -74,7 +75,7 @@ def provider_hint(text: Column) -> Column:
 
 
 def provider_spans(text: Column) -> Column:
-    found = F.concat(*[find_spans(text, rule, name) for name, rule in PROVIDERS.items()])
+    found = F.concat(*[find_spans(text, rule, NAME, name) for name, rule in PROVIDERS.items()])
     return F.when(provider_hint(text), found).otherwise(no_spans())
 
 
@@ -83,7 +84,7 @@ def api_key_detector(
 ) -> Detector:
     def generic_spans(text: Column, taken: Column) -> Column:
         tokens = keep(
-            find_spans(text, _TOKEN, GENERIC),
+            find_spans(text, _TOKEN, NAME, GENERIC),
             lambda token: looks_secret(token, entropy_threshold, min_length),
         )
         free = F.filter(tokens, lambda t: ~F.exists(taken, lambda p: overlaps(p, t)))
@@ -95,7 +96,7 @@ def api_key_detector(
         return let(provider_spans(text), lambda taken: F.concat(taken, generic_spans(text, taken)))
 
     return Detector(
-        "api_key",
+        NAME,
         30,
         spans,
         lambda value, subtype: mask_key(value, subtype, GENERIC),

@@ -10,6 +10,8 @@ from ..functions.masks import mask_card
 from ..functions.spans import find_spans, let, no_spans, record, span
 from .detector import Detector
 
+NAME = "credit_card"
+
 # Scheme -> digits of a card, first match wins.
 SCHEMES = {
     "visa": r"4\d{15}(?:\d{3})?",
@@ -28,7 +30,8 @@ SHORTEST, LONGEST = 13, 19
 # what is left are chains of groups joined by one space or dash.  The possessive
 # quantifiers keep the regex engine from recursing on long chains.
 _GROUP = r"\d{3,}+(?![A-Za-z])"
-_CHAIN = rf"(?U)(?<![A-Za-z\d]){_GROUP}(?:[ -]{_GROUP})*+"
+# the first lookahead is cheap: one long group, or two groups with a separator
+_CHAIN = rf"(?U)(?=\d{{{SHORTEST}}}|\d{{3,12}}[ -]\d{{3}})(?<![A-Za-z\d]){_GROUP}(?:[ -]{_GROUP})*+"
 _ENOUGH_DIGITS = rf"(?U)\d(?:[ -]?+\d){{{SHORTEST - 1}}}"
 
 
@@ -70,10 +73,8 @@ def _cards_in_chain(chain: Column) -> Column:
             widths = F.sequence(F.lit(1), F.least(F.lit(5), n - i))
             fits = F.filter(
                 widths,
-                lambda w: let(
-                    F.slice(groups, i + 1, w),
-                    lambda block: is_card(F.array_join(block, "")) & _plausible(block),
-                ),
+                lambda w: let(F.array_join(F.slice(groups, i + 1, w), ""), is_card)
+                & _plausible(F.slice(groups, i + 1, w)),
             )
             return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
 
@@ -87,7 +88,7 @@ def _cards_in_chain(chain: Column) -> Column:
                 width = F.aggregate(block, F.lit(0), lambda s, g: s + F.length(g)) + w - 1
                 begin = chain["start"] + acc["pos"]
                 value = F.substring(chain["value"], acc["pos"] + 1, width)
-                hit = span(begin, begin + width, value, card_scheme(F.array_join(block, "")))
+                hit = span(NAME, begin, begin + width, value, card_scheme(F.array_join(block, "")))
                 return record(
                     pos=after,
                     free=F.when(w > 0, i + w).otherwise(acc["free"]),
@@ -99,11 +100,16 @@ def _cards_in_chain(chain: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), n - 1), init, step, lambda acc: acc["out"])
 
-    return let(F.split(chain["value"], "[ -]"), search)
+    alone = F.when(
+        is_card(chain["value"]),
+        F.array(span(NAME, chain["start"], chain["end"], chain["value"], card_scheme(chain["value"]))),
+    ).otherwise(no_spans())
+    joined = let(F.split(F.translate(chain["value"], "-", " "), " "), search)
+    return F.when(chain["value"].rlike("[ -]"), joined).otherwise(alone)
 
 
 def card_spans(text: Column) -> Column:
-    chains = F.filter(find_spans(text, _CHAIN), lambda c: F.length(c["value"]) >= SHORTEST)
+    chains = F.filter(find_spans(text, _CHAIN, NAME), lambda c: F.length(c["value"]) >= SHORTEST)
     return F.when(
         text.rlike(_ENOUGH_DIGITS), F.flatten(F.transform(chains, _cards_in_chain))
     ).otherwise(no_spans())
@@ -111,7 +117,7 @@ def card_spans(text: Column) -> Column:
 
 def card_detector() -> Detector:
     return Detector(
-        "credit_card",
+        NAME,
         10,
         card_spans,
         lambda value, subtype: mask_card(value),

@@ -60,7 +60,7 @@ def regex_detector(
 ) -> Detector:
     """A detector that is nothing but one Java regex."""
     return Detector(
-        name, priority, lambda text: find_spans(text, pattern, subtype), mask, hint=lambda text: text.rlike(pattern)
+        name, priority, lambda text: find_spans(text, pattern, name, subtype), mask, hint=lambda text: text.rlike(pattern)
     )
 
 
@@ -74,16 +74,17 @@ def python_detector(
 
     It runs as an Arrow-batched pandas UDF, for rules no expression can state.
     """
-    spans_udf, any_udf = _python_spans(find)
+    spans_udf, any_udf = _python_spans(name, find)
     return Detector(name, priority, spans_udf, mask, hint=not_empty, any_of=any_udf)
 
 
-def _python_spans(find):
+def _python_spans(name, find):
     def found(text: str | None) -> list[dict]:
         if not text:
             return []
         return [
-            {"start": a, "end": b, "value": text[a:b], "subtype": kind} for a, b, kind in find(text)
+            {"start": a, "end": b, "value": text[a:b], "subtype": kind, "data_type": name}
+            for a, b, kind in find(text)
         ]
 
     @F.pandas_udf(f"array<{SPAN}>")
@@ -133,12 +134,12 @@ def java_form(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
-def custom_spans(pattern: str, subtype: str) -> tuple[Callable[[Column], Column], bool]:
+def custom_spans(pattern: str, data_type: str, subtype: str) -> tuple[Callable[[Column], Column], bool]:
     """Spans of a user's Python regex, and whether they are a native expression."""
     if runs_on_jvm(pattern):
-        return (lambda text: find_spans(text, java_form(pattern), subtype)), True
+        return (lambda text: find_spans(text, java_form(pattern), data_type, subtype)), True
 
     def find(text: str):
         return ((m.start(), m.end(), subtype) for m in re.compile(pattern).finditer(text))
 
-    return _python_spans(find)[0], False
+    return _python_spans(data_type, find)[0], False

@@ -14,12 +14,16 @@ from ..functions.masks import mask_email
 from ..functions.spans import find_spans, let, no_spans, span
 from .detector import Detector
 
+NAME = "email"
+
 # Labels are bounded for the JVM's regex engine: 254 characters hold at most 127.
 _CANDIDATE = (
     r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@"
     r"(?:[A-Za-z0-9\-]{1,63}\.){1,127}[A-Za-z0-9\-]{2,63}"
 )
 _LABEL = r"^[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\z"
+# labels of at most 63 characters that neither start nor end with a dash
+_LABELS = r"^(?:(?!-)[A-Za-z0-9\-]{1,63}+(?<!-)(?:\.|\z)){1,128}+\z"
 _LONGEST = 254
 
 # Generic domains older than the 2012 round, used only where the JVM
@@ -110,7 +114,7 @@ def email_detector(ignore_domains: Iterable[str] = (), tlds: Iterable[str] | Non
             def ends_at(n: Column) -> Column:
                 return (
                     _known_tld(F.get(labels, n - 1), known)
-                    & F.forall(F.slice(labels, F.lit(1), n), _label_ok)
+                    & F.array_join(F.slice(labels, F.lit(1), n), ".").rlike(_LABELS)
                     & (F.length(local) + 1 + F.length(F.array_join(F.slice(labels, F.lit(1), n), ".")) <= _LONGEST)
                 )
 
@@ -118,13 +122,18 @@ def email_detector(ignore_domains: Iterable[str] = (), tlds: Iterable[str] | Non
             return F.concat_ws("@", local, F.array_join(F.slice(labels, F.lit(1), F.get(sizes, F.lit(0))), "."))
 
         domain = F.substring_index(candidate["value"], "@", -1)
-        address = let(F.split(domain, r"\."), cut)
         # an address without a valid ending collapses to the bare local part
-        valid = _local_ok(local) & F.contains(address, F.lit("@"))
-        return F.when(valid, span(candidate["start"], candidate["start"] + F.length(address), address))
+        valid = let(
+            let(F.split(domain, r"\."), cut),
+            lambda address: F.when(
+                F.contains(address, F.lit("@")),
+                span(NAME, candidate["start"], candidate["start"] + F.length(address), address),
+            ),
+        )
+        return F.when(_local_ok(local), valid)
 
     def spans(text: Column) -> Column:
-        found = F.filter(F.transform(find_spans(text, _CANDIDATE), longest_valid), lambda s: s.isNotNull())
+        found = F.filter(F.transform(find_spans(text, _CANDIDATE, NAME), longest_valid), lambda s: s.isNotNull())
         if ignored:
             found = F.filter(
                 found, lambda s: ~F.lower(F.substring_index(s["value"], "@", -1)).isin(ignored)
@@ -132,7 +141,7 @@ def email_detector(ignore_domains: Iterable[str] = (), tlds: Iterable[str] | Non
         return F.when(F.contains(text, F.lit("@")), found).otherwise(no_spans())
 
     return Detector(
-        "email",
+        NAME,
         40,
         spans,
         lambda value, subtype: mask_email(value),

@@ -11,8 +11,10 @@ from ..functions.masks import mask_ip
 from ..functions.spans import find_spans, keep, let, no_spans, record
 from .detector import Detector
 
-_IPV4 = r"(?U)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
-_IPV6 = r"(?U)(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"
+NAME = "ip_address"
+
+_IPV4 = r"(?U)(?=\d)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
+_IPV6 = r"(?U)(?=[0-9A-Fa-f:])(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"
 _IPV6_HINT = "::|(?::[0-9A-Fa-f]{1,4}){6}:"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -122,6 +124,10 @@ def is_private_v6(value: Column) -> Column:
     return let(ipv6_hex(value), judge)
 
 
+def _maybe_v6(text: Column) -> Column:
+    return F.contains(text, F.lit(":")) & text.rlike(_IPV6_HINT)
+
+
 def ip_detector(ignore_private: bool = False) -> Detector:
     def good_v4(value: Column) -> Column:
         ok = is_ipv4(value)
@@ -132,16 +138,16 @@ def ip_detector(ignore_private: bool = False) -> Detector:
         return ok & ~is_private_v6(value) if ignore_private else ok
 
     def spans(text: Column) -> Column:
-        v4 = F.when(F.contains(text, F.lit(".")), keep(find_spans(text, _IPV4, "ipv4"), good_v4))
-        v6 = F.when(F.contains(text, F.lit(":")), keep(find_spans(text, _IPV6, "ipv6"), good_v6))
+        v4 = F.when(F.contains(text, F.lit(".")), keep(find_spans(text, _IPV4, NAME, "ipv4"), good_v4))
+        v6 = F.when(_maybe_v6(text), keep(find_spans(text, _IPV6, NAME, "ipv6"), good_v6))
         return F.concat(F.coalesce(v4, no_spans()), F.coalesce(v6, no_spans()))
 
     return Detector(
-        "ip_address",
+        NAME,
         80,
         spans,
         lambda value, subtype: mask_ip(value),
-        hint=lambda text: F.contains(text, F.lit(":")) & text.rlike(_IPV6_HINT) & text.rlike(_IPV6),
+        hint=lambda text: _maybe_v6(text) & text.rlike(_IPV6),
         digit_hint=lambda text: text.rlike(_IPV4),
         cuttable=True,
     )

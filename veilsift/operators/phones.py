@@ -10,9 +10,11 @@ from ..functions.masks import mask_keep_last
 from ..functions.spans import find_spans, keep, let
 from .detector import Detector
 
+NAME = "phone"
+
 # Fixed value: the three layouts.
 PHONE = (
-    r"(?U)(?<![\w+])(?:"
+    r"(?U)(?=[\d+(])(?<![\w+])(?:"
     r"\+\d{1,3}[\s.-]?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){2,4}"
     r"|(?:\+?1[\s.-]?)?\(?[2-9]\d{2}\)?[\s.-]\d{3}[\s.-]\d{4}"
     r"|8[\s-]?\(\d{3}\)[\s-]?\d{3}[\s-]?\d{2}[\s-]?\d{2}"
@@ -30,9 +32,9 @@ def is_phone(value: Column) -> Column:
 
 def phone_detector() -> Detector:
     return Detector(
-        "phone",
+        NAME,
         70,
-        lambda text: keep(find_spans(text, PHONE), is_phone),
+        lambda text: keep(find_spans(text, PHONE, NAME), is_phone),
         lambda value, subtype: mask_keep_last(value, 4),
         digit_hint=lambda text: text.rlike(PHONE),
         cuttable=True,

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import (
-    MATCH,
     inside,
+    let,
     no_spans,
     pieces,
     record,
     resolve,
     splice,
-    tag,
+    unmarked,
 )
 from .classify import category_of, risk_of
 from .detector import HAS_DIGIT, Detector
@@ -42,10 +42,14 @@ FINDING_COLUMNS = (
 )
 
 
+def candidates(text: Column, detectors: Sequence[Detector]) -> Column:
+    """What the detectors accept, one after the other by priority, overlaps and all."""
+    return F.concat(no_spans(), *[d.spans(text) for d in in_order(detectors)])
+
+
 def matches(text: Column, detectors: Sequence[Detector]) -> Column:
     """Resolved matches of one text, ordered by position."""
-    found = [tag(d.spans(text), d.name) for d in in_order(detectors)]
-    return resolve(F.concat(no_spans(MATCH), *found))
+    return let(candidates(text, detectors), resolve)
 
 
 def any_hint(text: Column, detectors: Sequence[Detector]) -> Column:
@@ -87,10 +91,10 @@ def _cuttable(detectors: Sequence[Detector]) -> bool:
 
 def _piece_rows(units: DataFrame, detectors: Sequence[Detector], passed: Sequence[str]) -> DataFrame:
     """One row per piece of a unit; units up to the piece size stay whole."""
+    text = unmarked(F.col("text"))
     if _cuttable(detectors):
-        cut = pieces(F.col("text"), max(d.margin for d in detectors))
+        cut = pieces(text, max(d.margin for d in detectors))
         return units.select(*passed, F.posexplode_outer(cut).alias("piece_no", "piece"))
-    text = F.col("text")
     whole = record(base=F.lit(0), lead=F.lit(0), body_len=F.length(text), text=text)
     return units.select(*passed, F.lit(0).alias("piece_no"), whole.alias("piece"))
 
@@ -115,8 +119,13 @@ def scan_rows(
         worth = F.coalesce(worth, F.lit(False)) | F.col(carry).isNotNull()
     passed = [c for c in UNIT_COLUMNS if c != "text"] + ([carry] if carry else [])
     cut = _piece_rows(units.where(worth), detectors, passed)
-    found = inside(F.col("piece"), _kept("matches", "piece.text", detectors))
-    resolved = cut.select(*passed, "piece_no", found.alias("found"))
+    # one step per column: what is a lambda stays small, the rest is compiled
+    found = _kept("candidates", "piece.text", detectors).alias("found")
+    resolved = (
+        cut.select(*passed, "piece_no", "piece", found)
+        .withColumn("found", resolve(F.col("found")))
+        .withColumn("found", inside(F.col("piece"), F.col("found")))
+    )
     # posexplode_outer and a null test: a plain explode would repeat the regex work
     # in the size() filter the optimizer adds below it
     rows = resolved.select(*passed, "piece_no", F.posexplode_outer("found").alias("match_no", "m"))
@@ -169,13 +178,15 @@ def redact(text: Column, detectors: Iterable[Detector] | None = None) -> Column:
             base=-piece["lead"], lead=piece["lead"], body_len=piece["body_len"], text=piece["text"]
         )
         body = F.substring(piece["text"], piece["lead"] + 1, piece["body_len"])
-        return splice(body, masked(inside(at_body, matches(piece["text"], chosen))))
+        found = let(unmarked(piece["text"]), lambda clean: matches(clean, chosen))
+        own = let(record(p=at_body, f=found), lambda b: inside(b["p"], b["f"]))
+        return splice(body, masked(own))
 
     if _cuttable(chosen):
         cut = pieces(text, max(d.margin for d in chosen))
         changed = F.array_join(F.transform(cut, body_of), "")
     else:
-        changed = splice(text, masked(matches(text, chosen)))
+        changed = splice(text, masked(matches(unmarked(text), chosen)))
     return F.when(any_hint(text, chosen), changed).otherwise(text)
 
 
@@ -183,7 +194,7 @@ def redact(text: Column, detectors: Iterable[Detector] | None = None) -> Column:
 def _column_of(kind: str, name: str, detectors: tuple[Detector, ...], gateway: int) -> Column:
     """A detection expression over a named column.  It takes seconds to build through
     the gateway and is the same for every DataFrame, so it is kept."""
-    build = {"matches": matches, "hint": any_hint, "redact": redact}[kind]
+    build = {"candidates": candidates, "hint": any_hint, "redact": redact}[kind]
     return build(F.col(name), detectors)
 
 
