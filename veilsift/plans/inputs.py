@@ -172,6 +172,18 @@ DERIVED: dict[str, tuple[str, list[list[str]]]] = {
             ],
         ],
     ),
+    # a log in which about one line in fifteen holds something
+    "shipment_log": (
+        "lineitem",
+        [
+            [
+                "l_orderkey * 10 + l_linenumber as k",
+                "'2024-05-01 10:20:30 INFO  worker handled order=' || cast(l_orderkey as string) || ' part=' || cast(l_partkey as string)"
+                " || ' supplier=' || cast(l_suppkey as string) || ' flag=' || l_returnflag || "
+                "case when l_orderkey % 15 = 0 then ' mail=ops' || cast(l_suppkey as string) || '@example.com' else ' status=completed' end as text",
+            ],
+        ],
+    ),
     "ipv6_texts": (
         "events",
         [

@@ -209,6 +209,12 @@ def build_log_detectors() -> tuple:
     return build_detectors(only=["email", "ip_address"])
 
 
+def shipment_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors over one log line per line item."""
+    found = scan_units(derived_units(spark, sf_dir, "shipment_log"), all_detectors())
+    return found.groupBy("data_type", "risk", "masked_value").agg(F.count("*").alias("findings"))
+
+
 def _on_log(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(log_findings(spark, sf_dir))
 
@@ -430,6 +436,7 @@ QUERIES: dict[str, Query] = {
     "phone_findings": _scan_documents(lambda: _only("phone")),
     "generic_secret_findings": _scan_documents(lambda: _only("api_key")),
     # detectors over derived texts
+    "shipment_findings": shipment_findings,
     "email_ignoring_domains": email_ignoring_domains,
     "email_valid": email_valid,
     "card_by_scheme": _scan_derived("card_texts", lambda: _only("credit_card")),
