@@ -121,6 +121,6 @@ def card_detector() -> Detector:
         10,
         card_spans,
         lambda value, subtype: mask_card(value),
-        digit_hint=lambda text: text.rlike(_ENOUGH_DIGITS),
+        shape=rf"\d(?:[ -]?+\d){{{SHORTEST - 1}}}",
         cuttable=True,
     )

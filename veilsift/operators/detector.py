@@ -23,9 +23,11 @@ class Detector:
     """Finds one kind of sensitive data.
 
     ``spans`` maps a text column to ``array<span>``, ``mask`` maps (value, subtype)
-    to what may be shown.  On overlap the lower ``priority`` wins.  ``hint`` and
-    ``digit_hint`` (tried only where there is a digit) are cheap: a unit for which
-    both fail, or are not given, is dropped before any span work.
+    to what may be shown.  On overlap the lower ``priority`` wins.  A unit is dropped
+    before any span work unless one of three cheap tests holds: ``hint``, a condition
+    of any kind; ``digit_hint``, tried only where there is a digit; ``shape``, a regex
+    that starts at a digit or plus sign, so that one pass can try those of all
+    detectors.  A test that is not given does not hold.
     ``cuttable`` says that no match crosses a barrier character and nothing beyond
     ``margin`` characters matters, so that very long units may be cut.
     """
@@ -36,6 +38,7 @@ class Detector:
     mask: Callable[[Column, Column], Column]
     hint: Callable[[Column], Column] | None = None
     digit_hint: Callable[[Column], Column] | None = None
+    shape: str | None = None
     any_of: Callable[[Column], Column] | None = None
     cuttable: bool = False
     margin: int = DEFAULT_MARGIN

@@ -15,7 +15,7 @@ NAME = "ip_address"
 
 _IPV4 = r"(?U)(?=\d)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 _IPV6 = r"(?U)(?=[0-9A-Fa-f:])(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"
-_IPV6_HINT = "::|(?::[0-9A-Fa-f]{1,4}){6}:"
+_IPV6_HINT = ":(?::|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){5}:)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 # The blocks the IANA special-purpose registries list as not globally
@@ -148,6 +148,6 @@ def ip_detector(ignore_private: bool = False) -> Detector:
         spans,
         lambda value, subtype: mask_ip(value),
         hint=lambda text: _maybe_v6(text) & text.rlike(_IPV6),
-        digit_hint=lambda text: text.rlike(_IPV4),
+        shape=r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d",
         cuttable=True,
     )

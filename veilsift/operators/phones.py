@@ -36,6 +36,6 @@ def phone_detector() -> Detector:
         70,
         lambda text: keep(find_spans(text, PHONE, NAME), is_phone),
         lambda value, subtype: mask_keep_last(value, 4),
-        digit_hint=lambda text: text.rlike(PHONE),
+        shape=r"\+\d|[2-9]\d{2}\)?[\s.-]\d{3}[\s.-]\d{4}|8[\s-]?\(\d",
         cuttable=True,
     )

@@ -55,12 +55,16 @@ def matches(text: Column, detectors: Sequence[Detector]) -> Column:
 def any_hint(text: Column, detectors: Sequence[Detector]) -> Column:
     """A cheap condition without which no detector can match.
 
-    Hints of detectors that need a digit are tried only on texts with a digit.
+    One regex tries the shapes of all detectors at each digit or plus sign; hints that
+    need a digit come last and are tried only where there is one.
     """
     hit, digit_hit = F.lit(False), F.lit(False)
+    shapes = [d.shape for d in detectors if d.shape]
     for detector in detectors:
         hit = hit | detector.hint(text) if detector.hint else hit
         digit_hit = digit_hit | detector.digit_hint(text) if detector.digit_hint else digit_hit
+    if shapes:
+        hit = hit | text.rlike(rf"(?U)(?=[\d+])(?:{'|'.join(shapes)})")
     return hit | (text.rlike(HAS_DIGIT) & digit_hit)
 
 

@@ -14,7 +14,7 @@ HAS_TEXT = r"(?U)\S"
 def lines_in(text: Column) -> Column:
     """Lines of a text: split on ``\\n`` only, ``\\r`` stays, a last line without
     newline counts, an empty text has none."""
-    trimmed = F.regexp_replace(text, r"\n\z", "")
+    trimmed = F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, "\n", -1))
 
 
