@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,10 +120,7 @@ def runs_on_jvm(pattern: str) -> bool:
             return False
     except (ImportError, AttributeError):
         return False
-    from pyspark.sql import SparkSession
-
-    session = SparkSession.getActiveSession()
-    jvm = getattr(session, "_jvm", None)
+    jvm = SparkContext._jvm
     if jvm is None:
         return False
     try:

@@ -7,7 +7,8 @@ import zipfile
 from collections.abc import Iterable
 from functools import lru_cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.masks import mask_email
@@ -49,7 +50,7 @@ def default_tlds() -> frozenset[str]:
 
     Pass your own set (``read_tlds``) to pin a snapshot.
     """
-    jvm = getattr(SparkSession.getActiveSession(), "_jvm", None)
+    jvm = SparkContext._jvm  # the session of a thread may not be the active one
     home = jvm.java.lang.System.getProperty("java.home") if jvm else os.environ.get("JAVA_HOME", "")
     listed = _suffix_data(home)
     if listed:

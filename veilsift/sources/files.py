@@ -80,6 +80,15 @@ def _entry(path: str, relative: str) -> tuple:
         return path, relative, None, os.path.islink(path), problem.strerror or type(problem).__name__
 
 
+def _entries(directory: str) -> list[os.DirEntry]:
+    """What a directory holds; one that may not be listed holds nothing, as in a walk."""
+    try:
+        with os.scandir(directory) as entries:
+            return sorted(entries, key=lambda e: e.name)
+    except OSError:
+        return []
+
+
 def list_tree(spark: SparkSession, roots: Sequence[str], follow_links: bool = False) -> DataFrame:
     """Every file below the roots of a file system mounted on all nodes.
 
@@ -101,7 +110,7 @@ def list_tree(spark: SparkSession, roots: Sequence[str], follow_links: bool = Fa
         if not open_dirs or len(open_dirs) >= 4 * parallelism:
             break
         directory, prefix = open_dirs.pop(0)
-        for item in sorted(os.scandir(directory), key=lambda e: e.name):
+        for item in _entries(directory):
             relative = f"{prefix}/{item.name}" if prefix else item.name
             if item.is_dir(follow_symlinks=follow_links):
                 open_dirs.append((item.path, relative))

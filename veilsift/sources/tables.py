@@ -200,7 +200,7 @@ def read_jdbc(
     """A database table through Spark's JDBC source, ``batch_size`` rows per fetch
     (S17).  ``split`` is (numeric column, lowest, highest, partitions); without it a
     table is read by one task."""
-    table = f'"{spec.schema}"."{spec.name}"'.replace("\x00", "")
+    table = ".".join('"' + quoted(part)[1:-1].replace("``", "`").replace('"', '""') + '"' for part in (spec.schema, spec.name))
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
     reader = reader.option("fetchsize", batch_size).options(**options)
     if split:
