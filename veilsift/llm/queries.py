@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import op02_line_dedup
+from .op02_line_dedup import op2_line_dedup
 from .op04_packing import op4_packing
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": op02_line_dedup.SQL,
+}
