@@ -5,10 +5,14 @@ from __future__ import annotations
 from . import op02_line_dedup
 from .op02_line_dedup import op2_line_dedup
 from .op04_packing import op4_packing
+from .op05_token_counts import op5_token_counts
+from .op10_decontaminate import op10_decontamination
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
