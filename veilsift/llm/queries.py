@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import op02_line_dedup
+from . import op02_line_dedup, op06_jaccard_join
 from .op02_line_dedup import op2_line_dedup
 from .op04_packing import op4_packing
 from .op05_token_counts import op5_token_counts
+from .op06_jaccard_join import op6_jaccard_join
 from .op10_decontaminate import op10_decontamination
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard_join": op6_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": op02_line_dedup.SQL,
+    "op6_jaccard_join": op06_jaccard_join.SQL,
 }
