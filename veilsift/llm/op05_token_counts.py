@@ -106,34 +106,78 @@ def _kept(df: DataFrame, added) -> list[str]:
     return [c for c in df.columns if c not in added]
 
 
+_BUILT = T.StructType.fromDDL(f"bounds array<int>, tree array<int>, n_tokens long, edits array<{EDIT}>")
+_APPLIED = T.StructType.fromDDL("n_edits long, encoded_chars long, n_tokens_after long")
+_INTS = pa.list_(pa.int32())
+_EDITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
+
+
+def _with_trees(words: WordIds, batch: pa.RecordBatch, names: list[str], width: int, edits) -> pa.RecordBatch:
+    texts = texts_of(batch).to_pylist()
+    bounds = [segments(t, width) for t in texts]
+    leaves = [t[a:b] for t, own in zip(texts, bounds) for a, b in zip(own, [*own[1:], len(t)])]
+    starts = np.concatenate(([0], np.cumsum([len(b) for b in bounds])))
+    trees = heaps(starts, words.counts(pa.array(leaves, pa.string())))
+    found = [[{"start": a, "end": b, "replacement": r} for a, b, r in edits(t)] if edits else None for t in texts]
+    columns = [batch.column(c) for c in names]
+    columns += [pa.array(bounds, _INTS), pa.array([t.tolist() for t in trees], _INTS)]
+    columns += [pa.array([int(t[1]) for t in trees], pa.int64()), pa.array(found, _EDITS)]
+    return pa.record_batch(columns, [*names, *_BUILT.names])
+
+
+def _with_edits(words: WordIds, batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    texts, given, bounds = texts_of(batch).to_pylist(), batch.column("edits").to_pylist(), batch.column("bounds").to_pylist()
+    trees, jobs, sizes, changed = batch.column("tree").to_pylist(), [], [], []
+    for row, text in enumerate(texts):
+        edits = valid_edits([(e["start"], e["end"], e["replacement"]) for e in given[row] or () if e is not None], len(text))
+        sizes.append(len(edits))
+        jobs.append(list(regions(np.array(bounds[row], np.int64), edits, text)) if edits else [])
+        changed += [new for _, _, new in jobs[-1]]
+    counts, k, encoded = words.counts(pa.array(changed, pa.string())).tolist(), 0, []
+    for row, text in enumerate(texts):
+        encoded.append(sum(len(new) for _, _, new in jobs[row]))
+        if not jobs[row]:
+            continue
+        tree, own = trees[row], bounds[row]
+        ends = [*own[1:], len(text)]
+        lengths = [b - a for a, b in zip(own, ends)]
+        parts, at = [], 0
+        for first, last, new in jobs[row]:
+            parts += [text[at : own[first]], new]
+            at = ends[last]
+            for leaf in range(first, last + 1):
+                lengths[leaf] = len(new) if leaf == first else 0
+                node = len(tree) // 2 + leaf
+                change = (counts[k] if leaf == first else 0) - tree[node]
+                while node and change:
+                    tree[node] += change
+                    node >>= 1
+            k += 1
+        texts[row] = "".join([*parts, text[at:]])
+        bounds[row] = [0, *np.cumsum(lengths)[:-1].tolist()]
+    new = {"text": pa.array(texts, pa.string()), "bounds": pa.array(bounds, _INTS), "tree": pa.array(trees, _INTS)}
+    columns = [new[c] if c in new else batch.column(c) for c in names]
+    columns += [pa.array(v, pa.int64()) for v in (sizes, encoded, [t[1] for t in trees])]
+    return pa.record_batch(columns, [*names, *_APPLIED.names])
+
+
+def _mapped(df: DataFrame, tokenizer: str | None, names: list[str], added, work) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
+
+    def run(batches):
+        words = WordIds(shared.value, most=200_000)
+        for batch in sliced(batches, 1 << 23):
+            yield work(words, batch)
+
+    schema = T.StructType([*(f for f in df.schema if f.name in names), *added])
+    return df.select(*[df[c] for c in names]).mapInArrow(run, schema)
+
+
 def build_trees(docs: DataFrame, tokenizer: str | None = None, width: int = 512, edits=None) -> DataFrame:
     """``docs`` with ``bounds`` (segment starts), ``tree`` (heap of counts) and ``n_tokens``; if a
     function ``edits`` of the text is given, with its ``edits`` too."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
     names = _kept(docs, _ADDED)
-    added = T.StructType.fromDDL(f"bounds array<int>, tree array<int>, n_tokens long, edits array<{EDIT}>")
-    kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
-    kinds.append(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())])))
-
-    def run(batches):
-        words = WordIds(shared.value)
-        for batch in sliced(batches):
-            texts = texts_of(batch).to_pylist()
-            bounds = [segments(t, width) for t in texts]
-            leaves = [t[a:b] for t, own in zip(texts, bounds) for a, b in zip(own, [*own[1:], len(t)])]
-            starts = np.concatenate(([0], np.cumsum([len(b) for b in bounds])))
-            trees = heaps(starts, words.counts(pa.array(leaves, pa.string())))
-            found = [
-                [{"start": a, "end": b, "replacement": r} for a, b, r in edits(t)] if edits else None for t in texts
-            ]
-            new = [bounds, [t.tolist() for t in trees], [int(t[1]) for t in trees], found]
-            yield pa.record_batch(
-                [batch.column(c) for c in names] + [pa.array(v, k) for v, k in zip(new, kinds)],
-                [*names, *(f.name for f in added)],
-            )
-
-    schema = T.StructType([*(f for f in docs.schema if f.name in names), *added])
-    return docs.select(*[docs[c] for c in names]).mapInArrow(run, schema)
+    return _mapped(docs, tokenizer, names, _BUILT, lambda words, batch: _with_trees(words, batch, names, width, edits))
 
 
 def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
@@ -147,67 +191,24 @@ def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
 def apply_edits(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Rows of ``build_trees`` with ``edits`` applied: new ``text``, ``bounds``, ``tree``, and
     ``n_edits``, ``encoded_chars`` (what had to be encoded again), ``n_tokens_after``."""
-    shared = trees.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
-    names = _kept(trees, ("n_edits", "encoded_chars", "n_tokens_after"))
-    added = T.StructType.fromDDL("n_edits long, encoded_chars long, n_tokens_after long")
+    names = _kept(trees, _APPLIED.names)
+    return _mapped(trees, tokenizer, names, _APPLIED, lambda words, batch: _with_edits(words, batch, names))
 
-    def run(batches):
-        words = WordIds(shared.value)
-        for batch in sliced(batches):
-            texts, bounds, trees = texts_of(batch).to_pylist(), [], []
-            jobs, changed, sizes = [], [], []
-            own_edits = batch.column("edits").to_pylist()
-            for row, text in enumerate(texts):
-                given = [(e["start"], e["end"], e["replacement"]) for e in own_edits[row] or () if e is not None]
-                edits = valid_edits(given, len(text))
-                sizes.append(len(edits))
-                own = np.array(batch.column("bounds")[row].as_py(), np.int64)
-                jobs.append(list(regions(own, edits, text)) if edits else [])
-                bounds.append(own)
-                trees.append(np.array(batch.column("tree")[row].as_py(), np.int64) if edits else None)
-                changed += [new for _, _, new in jobs[-1]]
-            counts, k, encoded = words.counts(pa.array(changed, pa.string())), 0, []
-            for row, text in enumerate(texts):
-                encoded.append(sum(len(new) for _, _, new in jobs[row]))
-                if not jobs[row]:
-                    continue
-                tree, own = trees[row], bounds[row]
-                ends, lengths = np.append(own[1:], len(text)), np.diff(np.append(own, len(text)))
-                parts, at, leaf0 = [], 0, len(tree) // 2
-                for first, last, new in jobs[row]:
-                    parts += [text[at : own[first]], new]
-                    at = ends[last]
-                    lengths[first], lengths[first + 1 : last + 1] = len(new), 0
-                    for leaf in range(first, last + 1):
-                        node = leaf0 + leaf
-                        change = (counts[k] if leaf == first else 0) - tree[node]
-                        while node and change:
-                            tree[node] += change
-                            node >>= 1
-                    k += 1
-                texts[row] = "".join([*parts, text[at:]])
-                bounds[row] = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            new = {
-                "text": pa.array(texts, pa.string()),
-                "bounds": pa.array([b.tolist() for b in bounds], pa.list_(pa.int32())),
-                "tree": pa.array(
-                    [batch.column("tree")[r].as_py() if t is None else t.tolist() for r, t in enumerate(trees)],
-                    pa.list_(pa.int32()),
-                ),
-            }
-            roots = [tree[1].as_py() for tree in new["tree"]]
-            columns = [new[c] if c in new else batch.column(c) for c in names]
-            columns += [pa.array(sizes, pa.int64()), pa.array(encoded, pa.int64()), pa.array(roots, pa.int64())]
-            yield pa.record_batch(columns, [*names, *(f.name for f in added)])
-
-    schema = T.StructType([*(f for f in trees.schema if f.name in names), *added])
-    return trees.select(*[trees[c] for c in names]).mapInArrow(run, schema)
+
+def recount(docs: DataFrame, edits, tokenizer: str | None = None, width: int = 512) -> DataFrame:
+    """``build_trees`` and ``apply_edits`` in one pass, for edits that follow from each text."""
+    names = _kept(docs, _ADDED)
+
+    def work(words, batch):
+        return _with_edits(words, _with_trees(words, batch, names, width, edits), [*names, *_BUILT.names])
+
+    return _mapped(docs, tokenizer, names, [*_BUILT, *_APPLIED], work)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, before and after long numbers and runs of marks are edited."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    edited = apply_edits(build_trees(docs, edits=mark_numbers))
+    edited = recount(docs, mark_numbers)
     return edited.select(
         "doc_id", "n_tokens", "n_edits", "n_tokens_after", "encoded_chars", F.length("text").cast("long").alias("chars_after")
     )
