@@ -106,8 +106,15 @@ def _kept(df: DataFrame, added) -> list[str]:
     return [c for c in df.columns if c not in added]
 
 
-_BUILT = T.StructType.fromDDL(f"bounds array<int>, tree array<int>, n_tokens long, edits array<{EDIT}>")
-_APPLIED = T.StructType.fromDDL("n_edits long, encoded_chars long, n_tokens_after long")
+_EDIT_TYPE = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("replacement", T.StringType())
+_BUILT = (
+    T.StructType()
+    .add("bounds", T.ArrayType(T.IntegerType()))
+    .add("tree", T.ArrayType(T.IntegerType()))
+    .add("n_tokens", T.LongType())
+    .add("edits", T.ArrayType(_EDIT_TYPE))
+)
+_APPLIED = T.StructType().add("n_edits", T.LongType()).add("encoded_chars", T.LongType()).add("n_tokens_after", T.LongType())
 _INTS = pa.list_(pa.int32())
 _EDITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
 
