@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import op02_line_dedup, op06_jaccard_join
+from . import op01_secrets, op02_line_dedup, op06_jaccard_join
+from .op01_secrets import op1_secrets
 from .op02_line_dedup import op2_line_dedup
 from .op04_packing import op4_packing
 from .op05_token_counts import op5_token_counts
@@ -11,6 +12,7 @@ from .op09_toxicity import op9_toxicity
 from .op10_decontaminate import op10_decontamination
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
@@ -20,6 +22,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secrets": op01_secrets.SQL,
     "op2_line_dedup": op02_line_dedup.SQL,
     "op6_jaccard_join": op06_jaccard_join.SQL,
 }
