@@ -66,11 +66,11 @@ def _profiles(docs: DataFrame, width: int, bits: int) -> DataFrame:
     names = ["doc_id", "node", "n", "slice", "counts"]
 
     def run(batches):
-        counters = np.zeros(1 << bits, np.int64)
-        for batch in sliced(batches):
+        counters = np.zeros(1 << bits, np.uint32)
+        for batch in sliced(batches, 1 << 22):
             sets = shingle_sets(texts_of(batch), width)
             if sets:
-                counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                np.add.at(counters, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
             empty = pa.nulls(len(sets))
             yield pa.record_batch(
                 [
@@ -82,11 +82,11 @@ def _profiles(docs: DataFrame, width: int, bits: int) -> DataFrame:
                 ],
                 names,
             )
-        parts = np.minimum(counters, 65535).astype("<u2").reshape(-1, 1 << _SLICE)
-        used = [k for k in range(len(parts)) if parts[k].any()]
-        empty = pa.nulls(len(used), pa.int64())
-        packed = pa.array([parts[k].tobytes() for k in used], pa.binary())
-        yield pa.record_batch([empty, empty, empty, pa.array(used, pa.int32()), packed], names)
+        none = pa.nulls(1, pa.int64())
+        for k, part in enumerate(np.split(counters, 1 << (bits - _SLICE))):
+            if part.any():
+                packed = np.minimum(part, 65535).astype("<u2").tobytes()
+                yield pa.record_batch([none, none, none, pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, node long, n long, slice int, counts binary"
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
     """``make(sets)``, record batches from the shingle sets of the rows."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 22):
             yield make([s for s in shingle_sets(texts_of(batch), width) if len(s)])
 
     return docs.select("text").mapInArrow(run, schema)
@@ -217,9 +217,14 @@ def jaccard_components(
     ends = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = postings.join(ends.where("lo <> hi").select("token"), "token", "left_semi")
     shared = written(shared, "jaccard-postings")
-    nodes = shared.select("node").distinct()
-    sets = _whole_sets(texts_with(classes.join(nodes, "node", "left_semi"), "jaccard-ids"), width)
-    sets = written(sets.dropDuplicates(["node"]), "jaccard-sets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the nodes of ``pairs`` alone, read again from the texts."""
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
+        ids = classes.join(small_side(nodes, nodes.count(), most_broadcast), "node", "left_semi")
+        sets = written(_whole_sets(texts_with(ids, "jaccard-ids"), width), "jaccard-sets")
+        # rows that share an id may give a set twice
+        return sets if sets.count() == nodes.count() else sets.dropDuplicates(["node"])
 
     links, comp = None, None
     for step in range(hub_rounds + 1):
@@ -236,7 +241,8 @@ def jaccard_components(
         else:
             rest = now.join(open_lists.select("token"), "token", "left_semi")
             pairs = _pairs(rest, rest, percent, "x.node < y.node and x.comp <> y.comp")
-        found = written(_verified(written(pairs, "jaccard-pairs"), sets, percent), "jaccard-links")
+        pairs = written(pairs, "jaccard-pairs")
+        found = written(_verified(pairs, sets_of(pairs), percent), "jaccard-links")
         links = found if links is None else links.union(found)
         comp = components(links)
 
