@@ -8,6 +8,7 @@ from .op02_line_dedup import op2_line_dedup
 from .op04_packing import op4_packing
 from .op05_token_counts import op5_token_counts
 from .op06_jaccard_join import op6_jaccard_join
+from .op07_neighbours import op7_nearest
 from .op08_pii import op8_pii
 from .op09_toxicity import op9_toxicity
 from .op10_decontaminate import op10_decontamination
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_nearest": op7_nearest,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
