@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op01_secrets, op02_line_dedup, op06_jaccard_join
+from . import op01_secrets, op02_line_dedup, op03_chat_format, op06_jaccard_join
 from .op01_secrets import op1_secrets
 from .op02_line_dedup import op2_line_dedup
+from .op03_chat_format import op3_chat_format
 from .op04_packing import op4_packing
 from .op05_token_counts import op5_token_counts
 from .op06_jaccard_join import op6_jaccard_join
@@ -16,6 +17,7 @@ from .op10_decontaminate import op10_decontamination
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
@@ -28,5 +30,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": op01_secrets.SQL,
     "op2_line_dedup": op02_line_dedup.SQL,
+    "op3_chat_format": op03_chat_format.SQL,
     "op6_jaccard_join": op06_jaccard_join.SQL,
 }
