@@ -3,9 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilsift.llm import op09_toxicity as toxic
 from veilsift.llm.common import written
+from veilsift.llm.op02_line_dedup import dedup_lines
 from veilsift.llm.op04_packing import pack
+from veilsift.llm.op06_jaccard_join import one_of_each
+from veilsift.llm.op10_decontaminate import decontaminate
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity (9): documents with a score of 0.5 or more go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxic.reject_toxic(docs, toxic.fit(docs, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup (2): lines that 5 documents share stay in one; ``n_chars`` follows the text."""
+    kept = dedup_lines(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (6): one document of each group of 5-word shingle sets 80 % alike stays."""
+    return one_of_each(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (10): documents that hold half of a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +41,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("packing", packing),
 ]
 

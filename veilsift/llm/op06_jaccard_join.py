@@ -258,6 +258,26 @@ def jaccard_components(
     )
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, most_broadcast: int = 2_000_000) -> DataFrame:
+    """``docs`` with one document, the least id, of each component.
+
+    Rows that share an id are one document, which goes if none of its rows is to stay; equal
+    rows of it (id and text) become one.  Rows without an id stay.
+    """
+    found = jaccard_components(docs, width, percent)
+    stays = F.max((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0))
+    per = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows"), stays.alias("stays"))
+    per = written(per.where("not stays or rows > 1"), "jaccard-decided")
+    gone, again = per.where("not stays").select("_id"), per.where("stays").select("_id")
+    own = F.col("doc_id").cast("long") == F.col("_id")
+    kept = docs.join(small_side(gone, gone.count(), most_broadcast), own, "left_anti")
+    repeated = again.count()
+    if not repeated:
+        return kept
+    again = small_side(again, repeated, most_broadcast)
+    return kept.join(again, own, "left_anti").union(kept.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose 4-word shingle sets are at least 85 % alike."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)

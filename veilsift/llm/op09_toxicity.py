@@ -280,6 +280,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return kept.mapInArrow(run, kept.withColumn("toxicity", F.lit(0.0)).schema)
 
 
+def reject_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(shared.value.scores(texts_of(batch)) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a grammar learned from the labels outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
