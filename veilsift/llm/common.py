@@ -41,6 +41,14 @@ def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sliced(batches, most_bytes: int = 1 << 24):
     """Record batches cut so that each holds about ``most_bytes`` (one row at least)."""
     for batch in batches:

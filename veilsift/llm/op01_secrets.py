@@ -108,23 +108,24 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ISSUED, most_
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted({t for q in queries if q for clause in q for t in clause})
     names = [c for c in docs.columns if c != "spans"]
-    rows = docs.select(*[docs[c] for c in names])
+    rows = docs.select(  # other columns travel as one, so that no name can clash
+        F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")
+    )
     mask = F.lit(0).cast("long")
     if wanted:
         picked = written(candidates(build_index(docs, wanted), wanted, queries), "secret-candidates")
-        picked = picked.select(F.col("doc_id").alias("_id"), F.col("mask").alias("_mask"))
-        side = small_side(picked, picked.count(), most_broadcast)
-        rows = rows.join(side, F.col("doc_id").cast("long") == F.col("_id"), "left")
-        mask = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.coalesce(F.col("_mask"), F.lit(0)))
-    rows = rows.select(*names, mask.alias("_mask"), unmarked(F.coalesce("text", F.lit(""))).alias("_text"))
+        picked = picked.withColumnRenamed("doc_id", "id")
+        rows = rows.join(small_side(picked, picked.count(), most_broadcast), "id", "left")
+        mask = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.coalesce("mask", F.lit(0)))
+    rows = rows.select("row", mask.alias("mask"), unmarked(F.coalesce("text", F.lit(""))).alias("text"))
     found = [
         kind_spans(
-            F.col("_text"), rule.kind, rank, rule.java,
-            F.lit(True) if query is None else F.col("_mask").bitwiseAND(F.lit(1 << rank)) != 0, rule.test,
+            F.col("text"), rule.kind, rank, rule.java,
+            F.lit(True) if query is None else F.col("mask").bitwiseAND(F.lit(1 << rank)) != 0, rule.test,
         )
         for rank, (rule, query) in enumerate(zip(rules, queries))
     ]
-    return rows.select(*names, F.array_sort(F.concat(*found)).alias("spans"))
+    return rows.select("row.*", F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, sliced, texts_of, written
+from .common import mixed, sliced, texts_of, unused, written
 
 _BLANK = " \t\n\x0b\x0c\r"
 _SLICE = 20  # log2 of the bits in one slice of a filter
@@ -181,12 +181,13 @@ def dedup_lines(
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*[docs[c] for c in names])
+    gone_name, gone_id = unused(docs, "gone"), unused(docs, "gone_id")
     if few:
         keep = spark.sparkContext.broadcast({bytes(r["digest"]): r["keep"] for r in confirmed.collect()})
     else:
         gone = suspects.join(confirmed, "digest").where("doc_id <> keep").groupBy("doc_id")
-        gone = gone.agg(F.collect_set("digest").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-        rows = rows.join(gone, F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+        gone = gone.agg(F.collect_set("digest").alias(gone_name)).withColumnRenamed("doc_id", gone_id)
+        rows = rows.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left").drop(gone_id)
     fields = [f for f in rows.schema if f.name in names]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -204,7 +205,7 @@ def dedup_lines(
                     own = ids[lines.row[p]]
                     drop[lines.at[p]] = own is not None and own != keepers[lines.code[p]]
             else:
-                gone = [frozenset(map(bytes, g)) if g else () for g in batch.column("_gone").to_pylist()]
+                gone = [frozenset(map(bytes, g)) if g else () for g in batch.column(gone_name).to_pylist()]
                 for p in range(len(lines.at)) if any(gone) else []:
                     own = gone[lines.row[p]]
                     drop[lines.at[p]] = bool(own) and _digest(lines.keys[lines.code[p]]) in own

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, texts_of
+from .common import sliced, texts_of, unused
 from .word_ids import WordIds, tokenizer_json
 
 EDIT = "struct<start:int,end:int,replacement:string>"
@@ -189,10 +189,11 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None, width: int = 512,
 
 def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     """``trees`` with the rows ``(doc_id, start, end, replacement)`` of another table as ``edits``."""
-    own = edits.groupBy(F.col("doc_id").alias("_of")).agg(
+    of = unused(trees, "of")
+    own = edits.groupBy(F.col("doc_id").alias(of)).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "replacement").cast(EDIT))).alias("edits")
     )
-    return trees.drop("edits").join(own, F.col("doc_id") == F.col("_of"), "left").drop("_of")
+    return trees.drop("edits").join(own, F.col("doc_id") == F.col(of), "left").drop(of)
 
 
 def apply_edits(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:

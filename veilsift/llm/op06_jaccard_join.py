@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, rolled, sliced, small_side, split_words, texts_of, written
+from .common import mixed, rolled, sliced, small_side, split_words, texts_of, unused, written
 from .components import components
 
 _SLICE = 16  # log2 of the counters in one slice of the sketch
@@ -213,7 +213,7 @@ def jaccard_components(
         return own.join(small_side(ids, ids.count(), most_broadcast), "_id", "left_semi")
 
     first = texts_with(classes.where("first_id is not null"), "jaccard-ids")
-    postings = _postings(first, width, percent, ranks, bits).repartition("token")
+    postings = written(_postings(first, width, percent, ranks, bits), "jaccard-heads")  # else made for each side
     ends = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = postings.join(ends.where("lo <> hi").select("token"), "token", "left_semi")
     shared = written(shared, "jaccard-postings")
@@ -266,10 +266,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, most_broadca
     """
     found = jaccard_components(docs, width, percent)
     stays = F.max((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0))
-    per = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows"), stays.alias("stays"))
+    name = unused(docs, "id")
+    per = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows"), stays.alias("stays"))
     per = written(per.where("not stays or rows > 1"), "jaccard-decided")
-    gone, again = per.where("not stays").select("_id"), per.where("stays").select("_id")
-    own = F.col("doc_id").cast("long") == F.col("_id")
+    gone, again = per.where("not stays").select(name), per.where("stays").select(name)
+    own = F.col("doc_id").cast("long") == F.col(name)
     kept = docs.join(small_side(gone, gone.count(), most_broadcast), own, "left_anti")
     repeated = again.count()
     if not repeated:

@@ -9,7 +9,7 @@ points by exact distance.  Merging keeps the k best ids of all shards.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part;
 vectors are compared with those of the same length only.  Rows that share an id but not a
-vector are separate candidates and queries.  Null ids take no part, extra columns are
+vector are separate candidates and queries; equal rows are one.  Null ids take no part, extra columns are
 ignored, an empty table gives no rows.
 """
 
@@ -213,7 +213,7 @@ def nearest(
     points = written(points_of(rows, k), "ann-points")
     graphs = written(build_graphs(points, shard_size, degree, beam), "ann-graphs")
     asked = rows.where(query).select("vec_id", F.xxhash64("v").alias("point"), F.size("v").alias("dims"), "v")
-    asked = written(asked, "ann-queries")
+    asked = written(asked.dropDuplicates(["vec_id", "point"]), "ann-queries")
     # equal query vectors are searched once
     distinct = asked.select("point", "dims", "v").dropDuplicates(["point", "dims"])
     blocks = max(1, -(-distinct.count() // block))

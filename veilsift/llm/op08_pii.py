@@ -125,15 +125,17 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
     """``docs`` without ``text``, with ``spans``: base spans and those that patterns discover, sorted."""
     names = [c for c in docs.columns if c not in ("spans", "text")]
     text = unmarked(F.coalesce("text", F.lit("")))
-    rows = docs.select(*[docs[c] for c in names], text.alias("_text"))
+    rows = docs.select(  # other columns travel as one, so that no name can clash
+        F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].alias("id"), text.alias("text")
+    )
     rows = rows.select(
-        *names, F.xxhash64("_text").alias("_tid"), base_spans(F.col("_text")).alias("_base"), occurrences(F.col("_text")).alias("_seen")
+        "row", "id", F.xxhash64("text").alias("tid"), base_spans(F.col("text")).alias("base"), occurrences(F.col("text")).alias("seen")
     )
     rows = written(rows, "pii-rows")
 
-    seen = rows.select("doc_id", "_tid", "_base", F.explode("_seen").alias("o")).select("doc_id", "_tid", "_base", "o.*")
-    over = F.filter("_base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    seen = seen.select("doc_id", "_tid", "pattern", "token", "start", "end", F.get(over, F.lit(0))["kind"].alias("kind"))
+    seen = rows.select("id", "tid", "base", F.explode("seen").alias("o")).select("id", "tid", "base", "o.*")
+    over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    seen = seen.select("id", "tid", "pattern", "token", "start", "end", F.get(over, F.lit(0))["kind"].alias("kind"))
     trusted = score_patterns(seen.where("pattern <> ''").select("pattern", F.lower("token").alias("token"), "kind"), how)
     trusted = trusted.where((F.col("confidence") >= how.confidence) & (F.col("seeds") >= how.seeds))
     trusted = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("guess"))
@@ -144,10 +146,10 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
         "start", ranks[F.col("guess")].alias("rank"), F.concat(F.lit("found_"), "guess").alias("kind"), "end",
         F.col("token").alias("value"),
     ).cast(FOUND)
-    new = new.groupBy(F.col("doc_id").alias("_d"), F.col("_tid").alias("_t")).agg(F.collect_set(span).alias("_new"))
-    out = rows.join(new, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tid") == F.col("_t")), "left")
-    spans = F.array_sort(F.concat("_base", F.coalesce("_new", F.expr(f"cast(array() as array<{FOUND}>)"))))
-    return out.select(*names, spans.alias("spans"))
+    new = new.groupBy(F.col("id").alias("id2"), F.col("tid").alias("tid2")).agg(F.collect_set(span).alias("new"))
+    out = rows.join(new, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tid") == F.col("tid2")), "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("new", F.expr(f"cast(array() as array<{FOUND}>)"))))
+    return out.select("row.*", spans.alias("spans"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
