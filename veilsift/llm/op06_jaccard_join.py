@@ -8,7 +8,7 @@
    postings that are joined.  Orders B and C, ascending and descending hash, must agree
    before a pair is verified on whole sets.
 3. Pairs are never listed within a group that is already one component: two rounds compare
-   the members of a posting list with one hub each, a last round compares what is still in
+   the members of a posting list with a few hubs each, a last round compares what is still in
    different components.  Components are then exact.
 
 Null or blank texts have an empty set and are linked with nothing.  Rows without an id get
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, width: int = 5, percent: int = 80, hub_rounds: int = 2, most_broadcast: int = 2_000_000
+    docs: DataFrame, width: int = 5, percent: int = 80, hub_rounds: int = 2, hubs: int = 4, most_broadcast: int = 2_000_000
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``: sets of ``width`` words
     linked when ``100 * intersection >= percent * union``; the component is named by its least id.
@@ -234,12 +234,18 @@ def jaccard_components(
             now = shared.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node")).drop("known")
         if step:
             now = written(now, "jaccard-round")
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("turn"), "node", "n", "pos", "comp")).alias("h")
-        open_lists = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).where("lo <> hi")
+        ends = F.min("comp").alias("lo"), F.max("comp").alias("hi")
         if step < hub_rounds:
-            pairs = _pairs(now, open_lists.select("token", "h.*"), percent, "x.comp <> y.comp")
+            # the member with the fewest rarer tokens is the likeliest centre; others go by lot
+            member = F.struct("node", "n", "pos", "comp")
+            turns = [F.struct("pos", F.xxhash64("node", F.lit(step)))]
+            turns += [F.struct(F.lit(0), F.xxhash64("node", F.lit(step), F.lit(k))) for k in range(1, hubs)]
+            chosen = F.array_distinct(F.array(*[F.min(F.struct(t.alias("turn"), member.alias("m")))["m"] for t in turns]))
+            lists = now.groupBy("token").agg(*ends, chosen.alias("hubs")).where("lo <> hi")
+            centres = lists.select("token", F.explode("hubs").alias("h")).select("token", "h.*")
+            pairs = _pairs(now, centres, percent, "x.comp <> y.comp")
         else:
-            rest = now.join(open_lists.select("token"), "token", "left_semi")
+            rest = now.join(now.groupBy("token").agg(*ends).where("lo <> hi").select("token"), "token", "left_semi")
             pairs = _pairs(rest, rest, percent, "x.node < y.node and x.comp <> y.comp")
         pairs = written(pairs, "jaccard-pairs")
         found = written(_verified(pairs, sets_of(pairs), percent), "jaccard-links")
