@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +24,18 @@ def luhn_ok(value: Column) -> Column:
     return bare.rlike("^[0-9]{2,}$") & F.call_function("luhn_check", bare)
 
 
+@lru_cache(maxsize=1)
+def _other_digits() -> tuple[str, str]:
+    """All decimal digits outside ASCII, and the ASCII digits of the same values."""
+    chars = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(chars), "".join(str(unicodedata.decimal(c)) for c in chars)
+
+
+def ascii_digits(digits: Column) -> Column:
+    """Decimal digits of any script as ASCII digits."""
+    return F.when(digits.rlike("^[0-9]*$"), digits).otherwise(F.translate(digits, *_other_digits()))
+
+
 def _digit(d: Column, at: int) -> Column:
     return F.substring(d, at, 1).try_cast("int")
 
@@ -31,7 +46,7 @@ def weighted_sum(d: Column, weights: Sequence[int]) -> Column:
 
 
 def _on_digits(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.coalesce(let(digits_of(value), body), F.lit(False))
+    return F.coalesce(let(ascii_digits(digits_of(value)), body), F.lit(False))
 
 
 def ssn_ok(value: Column) -> Column:

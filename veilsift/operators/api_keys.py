@@ -22,11 +22,12 @@ PROVIDERS = {
     "stripe_key": r"(?<![A-Za-z0-9])[sr]k_live_[A-Za-z0-9]{16,}",
     "google_api_key": r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_\-]{35}(?![0-9A-Za-z_\-])",
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    # the words before PRIVATE are bounded for the JVM's regex engine
-    "private_key": r"-----BEGIN (?:[A-Z]+ ){0,64}PRIVATE KEY-----",
+    # any number of capital words, one space apart: no repeated group, which would recurse in the JVM
+    "private_key": r"-----BEGIN (?! )(?![A-Z ]*?  )[A-Z ]*+(?<= PRIVATE KEY)-----",
 }
 _MARKERS = ("AKIA", "ASIA", "xox", "AIza", "eyJ", "-----BEGIN")
 _UNDERSCORED = r"gh[pousr]_|github_pat_|[sr]k_live_"
+# What a token is, and the shapes that are names of things.
 _TOKEN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])"
 _HEX_OR_UUID = r"^(?:[0-9a-fA-F]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})\z"
 _WORD_PART = r"^(?:\d+|[a-z]+|[A-Z]+|[A-Z][a-z]*)\z"
@@ -60,8 +61,7 @@ def looks_secret(token: Column, threshold: float = 4.0, min_length: int = 20) ->
         & (separators <= F.floor(F.length(token) / 3))
         & ~is_slug(token)
         & ~is_camel_case(token)
-        # rounding hides the last-digit difference between two ways to take a log
-        & (F.round(entropy(token), 9) >= threshold)
+        & (entropy(token) >= threshold)
     )
 
 

@@ -24,7 +24,7 @@ def parse_level(level: str) -> str:
     """A level whatever its case and outer spaces; anything else is an error."""
     name = str(level).strip().upper()
     if name not in RISK_RANK:
-        raise ValueError(f"unknown risk level {level!r} (expected one of: {', '.join(RISK_RANK)})")
+        raise ValueError(f"a risk is one of {' '.join(RISK_RANK)}, not {level!r}")
     return name
 
 

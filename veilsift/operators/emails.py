@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import os
-import zipfile
 from collections.abc import Iterable
 from functools import lru_cache
 
-from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,42 +25,22 @@ _LABEL = r"^[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\z"
 _LABELS = r"^(?:(?!-)[A-Za-z0-9\-]{1,63}+(?<!-)(?:\.|\z)){1,128}+\z"
 _LONGEST = 254
 
-# Generic domains older than the 2012 round, used only where the JVM
-# brings no list; country codes then come from its locale data.
-_OLD_GENERIC = (
-    "aero arpa asia biz cat com coop edu gov info int jobs mil mobi museum name net org "
-    "post pro tel travel xxx ac eu su uk xn--p1ai"
-).split()
+_TLD_FILE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data", "tlds.txt")
 
 
-@lru_cache(maxsize=4)
-def _suffix_data(java_home: str) -> frozenset[str]:
-    """Top-level domains of the public-suffix data that ships with the JVM."""
-    path = os.path.join(java_home, "lib", "security", "public_suffix_list.dat")
-    if not os.path.exists(path):
-        return frozenset()
-    with zipfile.ZipFile(path) as data:
-        return frozenset(name.encode("idna").decode().lower() for name in data.namelist())
+def read_tlds(path: str) -> frozenset[str]:
+    """A published list, one domain per line, ``#`` for comments."""
+    with open(path, encoding="utf-8") as lines:
+        return frozenset(t.strip().lower() for t in lines if t.strip() and not t.startswith("#"))
 
 
+@lru_cache(maxsize=1)
 def default_tlds() -> frozenset[str]:
-    """Delegated top-level domains known to the driver's JVM, in punycode.
+    """The dated list in ``data/tlds.txt``, in punycode (D19): the same with or without a session.
 
-    Pass your own set (``read_tlds``) to pin a snapshot.
+    Pass your own set (``read_tlds``) to pin another snapshot.
     """
-    jvm = SparkContext._jvm  # the session of a thread may not be the active one
-    home = jvm.java.lang.System.getProperty("java.home") if jvm else os.environ.get("JAVA_HOME", "")
-    listed = _suffix_data(home)
-    if listed:
-        return listed
-    countries = jvm.java.util.Locale.getISOCountries() if jvm else ()
-    return frozenset([*_OLD_GENERIC, *(c.lower() for c in countries)])
-
-
-def read_tlds(path: str) -> frozenset[str]:
-    """A published list, one domain per line, ``#`` for comments."""
-    with open(path, encoding="utf-8") as lines:
-        return frozenset(t.strip().lower() for t in lines if t.strip() and not t.startswith("#"))
+    return read_tlds(_TLD_FILE)
 
 
 def _known_tld(label: Column, tlds: Iterable[str]) -> Column:

@@ -69,6 +69,34 @@ DERIVED: dict[str, tuple[str, list[list[str]]]] = {
             ],
         ],
     ),
+    # the same numbers in Arabic-Indic digits
+    "ssn_other_texts": (
+        "orders",
+        [
+            ["o_orderkey as k", f"{_padded('o_orderkey * 48271 % 1000000000', 9)} as n"],
+            ["k", "n", "'member ' || translate(" + _parts("n", (1, 3, "-"), (4, 2, "-"), (6, 4, "")) + ", '0123456789', '٠١٢٣٤٥٦٧٨٩') as text"],
+        ],
+    ),
+    "pem_texts": (
+        "customer",
+        [
+            [
+                "c_custkey as k",
+                "'-----BEGIN ' || repeat('WORD ', c_custkey % 90) || case when c_custkey % 7 = 0 then ' ' else '' end"
+                " || 'PRIVATE ' || 'KEY-----' as text",
+            ]
+        ],
+    ),
+    "tld_texts": (
+        "customer",
+        [
+            [
+                "c_custkey as k",
+                "'to u' || cast(c_custkey as string) || '@host.' || case c_custkey % 6 when 0 then 'com' when 1 then 'de' "
+                "when 2 then 'io' when 3 then 'app' when 4 then 'nosuchzone' else 'zzzz' end as text",
+            ]
+        ],
+    ),
     "sin_texts": (
         "orders",
         [
@@ -168,7 +196,7 @@ DERIVED: dict[str, tuple[str, list[list[str]]]] = {
                 "s",
                 "mail",
                 "ip",
-                "'2024-05-01 INFO ' || event_type || ' login ok user=' || mail || ' ip=' || ip as text",
+                "'event ' || event_type || ' signed in ' || mail || ' from ' || ip as text",
             ],
         ],
     ),

@@ -20,7 +20,7 @@ from ..sources.spread import spread
 from ..streaming.stream import scan_stream, write_findings
 from . import report
 from .inputs import derived, derived_units, document_lines, page_lines, table
-from .scan_job import checkpoint_folder
+from .shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,13 @@ def _scan_derived(name: str, detectors: Callable[[], tuple]) -> Query:
     return query
 
 
+def _places(name: str, detectors: Callable[[], tuple]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scan_units(derived_units(spark, sf_dir, name), detectors()).select("source", "line", "offset", "data_type", "risk")
+
+    return query
+
+
 def _scan_documents(detectors: Callable[[], tuple]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scan_units(document_lines(spark, sf_dir), detectors()).select(*SHOWN)
@@ -195,7 +202,7 @@ def redact_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(derived(spark, sf_dir, "log_lines").select("k", "text"))
-    return redact_logs(lines, "text", secrets=["login ok", "INFO"])
+    return redact_logs(lines, "text", secrets=["signed in", "event"])
 
 
 # --------------------------------------------------------------------- reports
@@ -417,7 +424,7 @@ def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(os.path.join(sf_dir, "documents*.parquet"))
     source = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     found = scan_stream(stream, "text", source, build_detectors(only=["email"]))
-    folder = checkpoint_folder(spark, "stream")
+    folder = new_folder(spark, "stream")
     write_findings(found, f"{folder}/findings", f"{folder}/checkpoint", once=True).awaitTermination()
     rows = spark.read.schema(found.schema).parquet(f"{folder}/findings")
     return rows.select("source", "line", "offset", "category", "risk", "masked_value")
@@ -443,6 +450,9 @@ QUERIES: dict[str, Query] = {
     "ipv4_public_only": _scan_derived("log_lines", lambda: _only("ip_address", ignore_private=True)),
     "ipv6_findings": _scan_derived("ipv6_texts", lambda: _only("ip_address")),
     "ipv6_public_only": _scan_derived("ipv6_texts", lambda: _only("ip_address", ignore_private=True)),
+    "ssn_other_digits": _places("ssn_other_texts", lambda: _ids("us_ssn")),
+    "pem_headers": _places("pem_texts", lambda: _only("api_key", detect_generic=False)),
+    "email_tlds": _places("tld_texts", lambda: _only("email")),
     "ssn_findings": _scan_derived("ssn_texts", lambda: _ids("us_ssn")),
     "sin_findings": _scan_derived("sin_texts", lambda: _ids("ca_sin")),
     "nino_findings": _scan_derived("nino_texts", lambda: _ids("uk_nino")),

@@ -193,9 +193,10 @@ def findings_table(findings: DataFrame, n: int = 200) -> DataFrame:
     place = location_text(
         F.col("line"), F.col("offset"), F.col("column_name"), F.col("row"), F.col("row_id")
     )
-    return severity_top(findings, n).select(
-        "risk", label.alias("type"), "source", place.alias("location"), "masked_value"
-    )
+    # what is shown is computed below the sort: one plain projection above it keeps the
+    # sort and the limit one operator
+    shown = findings.withColumns({"type": label, "location": place})
+    return severity_top(shown, n).select("risk", "type", "source", "location", "masked_value")
 
 
 def targets_table(targets: DataFrame) -> DataFrame:

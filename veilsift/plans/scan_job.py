@@ -7,8 +7,6 @@ the checkpoint, so a source is read once whatever is asked of it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -22,6 +20,7 @@ from ..operators.registry import build_detectors
 from ..operators.scan import FINDING_COLUMNS, redacted, scan_rows, scan_units
 from ..sources import files, tables
 from . import report
+from .shared import new_folder
 
 FINDINGS_SCHEMA = (
     "source_type string, source string, data_type string, subtype string, category string, risk string, "
@@ -102,24 +101,17 @@ class ScanResult:
         return report.risk_gate(self.findings, fail_on, errors, self.dry_run).first()["status"]
 
 
-def checkpoint_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one only where the session names none, as in local tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='veilsift-')}/{name}-{uuid.uuid4().hex}"
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of masked rows, so that lost executors cost no rescan."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession, "checkpoints"))
+        context.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
 def mask_message(spark: SparkSession, text: str) -> str:
     """An error text with sensitive values masked."""
-    frame = spark.createDataFrame([(text[:2000],)], "m string")
+    frame = spark.createDataFrame([(text,)], "m string")
     return frame.select(redacted("m").alias("m")).first()["m"]
 
 

@@ -7,6 +7,7 @@ cells and handed on.  A file is one row, bounded by the size limit.
 
 from __future__ import annotations
 
+import errno
 import os
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -95,12 +96,12 @@ def list_tree(spark: SparkSession, roots: Sequence[str], follow_links: bool = Fa
     The driver opens at most a few hundred directories; tasks walk what is below.
     """
     if not roots:
-        raise ValueError("file source has no paths to scan")
+        raise ValueError("give at least one folder or file")
     files: list[tuple] = []
     open_dirs: list[tuple[str, str]] = []
     for root in map(str, map(Path, roots)):
         if not os.path.exists(root):
-            raise FileNotFoundError(f"scan path does not exist: {root}")
+            raise FileNotFoundError(f"nothing to read at {root}")
         if os.path.isdir(root):
             open_dirs.append((root, ""))
         else:
@@ -222,6 +223,10 @@ def plan_targets(judged: DataFrame, name: Column, source_type: str) -> DataFrame
 # --------------------------------------------------------------------- contents
 
 
+#: A file is one value of a column; Arrow and the JVM end below 2 GB.
+LONGEST_VALUE = (1 << 31) - 64
+
+
 def read_tree(judged: DataFrame) -> DataFrame:
     """Bytes of the files to scan, one file per Arrow batch; a file that cannot be
     read becomes an error row and stops nothing (S21)."""
@@ -231,6 +236,8 @@ def read_tree(judged: DataFrame) -> DataFrame:
         for batch in batches:
             for path, size in zip(batch["path"].to_pylist(), batch["size"].to_pylist()):
                 try:
+                    if os.path.getsize(path) > LONGEST_VALUE:
+                        raise OSError(errno.EFBIG, "larger than one value can be")
                     row = (path, size, Path(path).read_bytes(), None)
                 except OSError as problem:
                     row = (path, size, None, problem.strerror or type(problem).__name__)

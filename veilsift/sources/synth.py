@@ -17,8 +17,8 @@ from ..functions.spans import let
 FIRST = "Ada Ben Cleo Dan Eva Finn Gus Hana Ivo June".split()
 LAST = "Archer Baker Cooper Dyer Fisher Mason Porter Smith Turner Weaver".split()
 DOMAINS = "example.com example.net example.org".split()
-PREFIXES = ("4", "51", "34", "6011")
-LENGTHS = (16, 16, 15, 16)
+PREFIXES = ("4", "51", "34", "6011", "36", "62")
+LENGTHS = (16, 16, 15, 16, 14, 17)
 
 
 def _mixed(key: Column, salt: int, size: int) -> Column:
@@ -86,15 +86,13 @@ def written_card(number: Column, style: Column) -> Column:
 
 
 def log_lines(rows: DataFrame) -> DataFrame:
-    """An application log: logins, and on every fourth and fifth person a payment or a
-    retry whose order number is no card."""
-    minute = _digits(F.col("id") % 60, 2)
-    day = _digits(F.col("id") % 27 + 1, 2)
-    stamp = F.concat(F.lit("2024-05-"), day, F.lit(" 10:"), minute, F.lit(":00 "))
+    """An event log: sessions, and on every fourth and fifth person a charge or a parcel
+    whose tracking number is no card."""
+    stamp = F.concat(F.lit("["), _digits(F.col("id") % 100000, 5), F.lit("] "))
     text = (
-        F.when(F.col("id") % 4 == 0, F.concat(stamp, F.lit("DEBUG payment payload card="), F.col("card_number")))
-        .when(F.col("id") % 5 == 0, F.concat(stamp, F.lit("WARN  retry order=9"), _digits(_mixed(F.col("id"), 20, 10**7), 15)))
-        .otherwise(F.concat(stamp, F.lit("INFO  login ok user="), F.col("email"), F.lit(" ip="), F.col("ip")))
+        F.when(F.col("id") % 4 == 0, F.concat(stamp, F.lit("till accepted "), F.col("card_number")))
+        .when(F.col("id") % 5 == 0, F.concat(stamp, F.lit("parcel 9"), _digits(_mixed(F.col("id"), 20, 10**7), 15), F.lit(" left")))
+        .otherwise(F.concat(stamp, F.lit("session of "), F.col("email"), F.lit(" at "), F.col("ip")))
     )
     return rows.select("id", text.alias("text"))
 
@@ -113,30 +111,55 @@ def csv_rows(rows: DataFrame) -> DataFrame:
 
 
 def notes(rows: DataFrame) -> DataFrame:
-    """Support notes: two sentences per person."""
-    call = F.concat(
-        F.lit("Call back "), "full_name", F.lit(" on "), "phone", F.lit("; confirmed by email "), "email",
-        F.lit(". Customer read out card "), written_card(F.col("card_number"), F.lit(1)), F.lit(" over the phone."),
-    )
-    check = F.concat(F.lit("Identity check passed, SSN "), "ssn", F.lit(" matches the file."))
-    return rows.select("id", F.explode(F.array(call, check)).alias("text"))
+    """Reception notes: two lines per person."""
+    visit = F.concat(
+        F.col("full_name"), F.lit(" rang from "), F.col("phone"), F.lit(", writes as "), F.col("email"),
+        F.lit(", pays with "), written_card(F.col("card_number"), F.lit(1)),
+    )
+    badge = F.concat(F.lit("Badge printed against number "), "ssn")
+    return rows.select("id", F.explode(F.array(visit, badge)).alias("text"))
 
 
-# Fixed value: text that looks sensitive and is not.
+#: Lines whose numbers and signs satisfy no detector.
 CLEAN = (
-    "Order reference 1234567812345678 shipped (fails the Luhn check)\n"
-    "Unix timestamp 1700000000000 and build 20240501123045\n"
-    "Retina asset logo@2x.png and contact user@host.invalidtld\n"
-    "Version 1.2.3, commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\n"
-    "Invalid SSN 000-12-3456 and 666-45-6789\n"
+    "Pallet 4000000000000000 is one short of a checksum\n"
+    "Sensor 20310704112233 sent 1999999999999 ticks\n"
+    "Sprite hero@3x.gif, account root@box.nosuchzone\n"
+    "Firmware 7.8.9 built from 0f1e2d3c4b5a69788796a5b4c3d2e1f00f1e2d3c\n"
+    "Locker 000-45-6789 beside locker 666-12-3456\n"
 )
 
 
+def documents_of(rows: DataFrame) -> DataFrame:
+    """A nested JSON document per person."""
+    contact = F.struct("email", "phone", F.struct(F.col("ip").alias("last")).alias("seen"))
+    payment = F.struct(F.col("card_number").alias("number"), F.array("ssn").alias("papers"))
+    return rows.select("id", F.to_json(F.struct("id", contact.alias("contact"), payment.alias("payment"))).alias("text"))
+
+
+def dump_lines(rows: DataFrame) -> DataFrame:
+    """A SQL dump: an insert statement per person."""
+    values = F.concat_ws("', '", "full_name", "email", "ssn", "card_number")
+    return rows.select("id", F.concat(F.lit("INSERT INTO visitors VALUES ('"), values, F.lit("');")).alias("text"))
+
+
+def key_lines(rows: DataFrame) -> DataFrame:
+    """A settings file with a provider key or a random token per person."""
+    noise = F.translate(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "+/=", "xyz")
+    cloud = F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.substring(F.md5(F.col("id").cast("string")), 1, 16)))
+    forge = F.concat(F.lit("gh"), F.lit("p_"), F.substring(noise, 1, 36))
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("cloud = "), cloud)).otherwise(F.concat(F.lit("forge = "), forge))
+    return rows.select("id", text.alias("text"))
+
+
 def write_corpus(spark: SparkSession, path: str, rows: int, parts: int = 8, seed: int = 0) -> None:
-    """A small data lake below ``path``: logs, notes, a CSV export and four tables."""
+    """A small data lake below ``path``: logs, notes, JSON, a SQL dump, keys, a CSV export and four tables."""
     persons = people(spark.range(0, rows, 1, parts), "id", seed)
     log_lines(persons).select("text").write.mode("overwrite").text(f"{path}/logs")
     notes(persons).select("text").write.mode("overwrite").text(f"{path}/notes")
+    documents_of(persons).select("text").write.mode("overwrite").text(f"{path}/documents")
+    dump_lines(persons).select("text").write.mode("overwrite").text(f"{path}/dump")
+    key_lines(persons).select("text").write.mode("overwrite").text(f"{path}/keys")
     csv_rows(persons).write.mode("overwrite").option("header", True).csv(f"{path}/customers")
     clean = spark.createDataFrame([(line,) for line in CLEAN.splitlines()], "text string")
     clean.coalesce(1).write.mode("overwrite").text(f"{path}/clean")
@@ -148,7 +171,7 @@ def corpus_tables(persons: DataFrame) -> dict[str, DataFrame]:
     """users, orders, support_tickets and audit_log of the synthetic people."""
     h = F.md5(F.col("id").cast("string"))
     ticket = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    ship = F.concat(F.lit("deliver to "), "full_name", F.lit(", call "), "phone")
+    ship = F.concat("full_name", F.lit(" waits for the van, "), "phone")
     return {
         "users": persons.select("id", "full_name", "email", "phone", "ssn", "card_number"),
         "orders": persons.select(
@@ -156,8 +179,8 @@ def corpus_tables(persons: DataFrame) -> dict[str, DataFrame]:
         ),
         "support_tickets": persons.select(
             ticket.alias("ticket_id"),
-            F.concat(F.lit("card "), "card_number", F.lit(" declined")).alias("body"),
+            F.concat(F.lit("bank refused "), "card_number").alias("body"),
             F.to_json(F.struct(F.col("email").alias("contact"))).alias("metadata"),
         ),
-        "audit_log": persons.select("id", F.concat(F.lit("login "), "email").alias("action"), F.col("ip").alias("actor_ip")),
+        "audit_log": persons.select("id", F.concat(F.lit("opened by "), "email").alias("action"), F.col("ip").alias("actor_ip")),
     }

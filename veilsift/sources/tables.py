@@ -59,10 +59,10 @@ def scan_columns(df: DataFrame, spec: TableSpec, allowed: Iterable[str] = ()) ->
     """Columns to read: allowlisted ones are never in the select list."""
     listed = list(spec.columns) or text_columns(df)
     if not listed:
-        raise LookupError(f"no text-like columns found in {spec.label}")
+        raise LookupError(f"{spec.label} has no column of text")
     missing = [c for c in listed if c not in df.columns]
     if missing:
-        raise LookupError(f"no such column in {spec.label}: {', '.join(missing)}")
+        raise LookupError(f"{spec.label} lacks {', '.join(missing)}")
     patterns = list(allowed)
     return [c for c in listed if not name_matches(patterns, f"{spec.label}.{c}", f"{spec.name}.{c}", c)]
 
