@@ -135,8 +135,11 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
 
     seen = rows.select("id", "tid", "base", F.explode("seen").alias("o")).select("id", "tid", "base", "o.*")
     over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    seen = seen.select("id", "tid", "pattern", "token", "start", "end", F.get(over, F.lit(0))["kind"].alias("kind"))
-    trusted = score_patterns(seen.where("pattern <> ''").select("pattern", F.lower("token").alias("token"), "kind"), how)
+    seen = seen.select("id", "tid", "pattern", "token", "start", "end", F.get(over, F.lit(0)).alias("seed"))
+    # a seed counts as the whole value that its rule found, of which the token may be the first part
+    instance = F.lower(F.coalesce("seed.value", "token")).alias("token")
+    seen = seen.withColumn("kind", F.col("seed.kind"))
+    trusted = score_patterns(seen.where("pattern <> ''").select("pattern", instance, "kind"), how)
     trusted = trusted.where((F.col("confidence") >= how.confidence) & (F.col("seeds") >= how.seeds))
     trusted = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("guess"))
 
