@@ -11,9 +11,10 @@ from veilsift.operators import emails
 from veilsift.operators.registry import build_detectors
 from veilsift.operators.scan import scan_units
 from veilsift.plans.inputs import document_lines
-from veilsift.plans.queries import QUERIES
+from veilsift.plans import file_queries, queries
 
 SMALL = "/root/testdata/sf0.001"
+QUERIES = {**queries.QUERIES, **file_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")
