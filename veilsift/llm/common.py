@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +38,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def sliced(batches, most_bytes: int = 1 << 24):
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers live on and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # only glibc can be asked
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches, most_bytes: int = 1 << 23):
     """Record batches cut so that each holds about ``most_bytes`` (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -41,6 +55,8 @@ def sliced(batches, most_bytes: int = 1 << 24):
         rows = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        _give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

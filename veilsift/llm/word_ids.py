@@ -74,7 +74,7 @@ _MARK = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97),
 class WordIds:
     """Ids of words, with a cache of bounded size (two generations of ``most`` entries)."""
 
-    def __init__(self, source: str, most: int = 500_000):
+    def __init__(self, source: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_str(source)
         rules = json.loads(source)
         self.specials = [t["content"] for t in rules.get("added_tokens") or []]
