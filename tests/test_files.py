@@ -122,6 +122,15 @@ def test_only_wanted_objects_are_opened(spark, lake):
     assert "content" not in files.list_objects(spark, str(lake))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_siblings_of_a_prefix_are_not_listed(spark, lake):
+    listed = files.open_store(spark, str(lake), "plain/fo").select("path").collect()
+    assert sorted(os.path.basename(r["path"]) for r in listed) == ["four.txt"]  # empty objects are no rows
+    assert files.list_objects(spark, str(lake), "nowhere/x").count() == 0
+    assert [r["relative"] for r in files.list_objects(spark, str(lake), "plain/fo").collect()] == ["plain/four.txt"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.open_store(spark, f"{lake}/gone", "a/b")
+
+
 def test_plan_reads_nothing_and_masks_names(spark, lake):
     result = run_scan(spark, [FileSource([str(lake)], RULES)], dry_run=True)
     names = {r["name"].removeprefix(str(lake)): r["size_bytes"] for r in result.targets.collect()}

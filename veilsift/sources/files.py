@@ -8,13 +8,16 @@ cells and handed on.  A file is one row, bounded by the size limit.
 from __future__ import annotations
 
 import errno
+import itertools
 import os
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,24 +127,32 @@ def list_tree(spark: SparkSession, roots: Sequence[str], follow_links: bool = Fa
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "relative", "size", "link", "error"]
         for batch in batches:
-            rows = list(_walk(zip(batch["directory"], batch["prefix"]), follow_links))
-            yield pd.DataFrame(rows, columns=names).astype({"size": "Int64"})
+            found = _walk(zip(batch["directory"], batch["prefix"]), follow_links)
+            while rows := list(itertools.islice(found, 10_000)):  # a subtree of any size, some rows at a time
+                yield pd.DataFrame(rows, columns=names).astype({"size": "Int64"})
 
     below = spark.createDataFrame(open_dirs, "directory string, prefix string")
     spread = below.repartition(min(len(open_dirs), 4 * parallelism))
     return listed.unionByName(spread.mapInPandas(walk, LISTING))
 
 
-def open_store(spark: SparkSession, root: str) -> DataFrame:
-    """A bucket or directory on any Hadoop file system, one row per object.  Names
-    that start with ``_`` or ``.`` are hidden from Spark's listing."""
-    return (
+def open_store(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """A bucket or directory on any Hadoop file system, one row per object of the longest
+    folder in ``prefix``: its siblings are not listed.  Names that start with ``_`` or
+    ``.`` are hidden from Spark's listing."""
+    reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", "true")
         .option("ignoreCorruptFiles", "true")
-        .load(root)
     )
+    folder = prefix.rpartition("/")[0].strip("/")
+    if not folder or re.search(r"[*?\[\]{}\\]", folder):  # a glob for Spark
+        return reader.load(root)
+    try:
+        return reader.load(f"{root.rstrip('/')}/{folder}")
+    except AnalysisException:  # no such folder, so no object has the prefix; a missing root still raises
+        return reader.load(root).limit(0)
 
 
 def _metadata_path() -> Column:
@@ -160,7 +171,7 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     dropped and not counted (S5).  Reads no content."""
     if not root:
         raise ValueError("object source needs a bucket")
-    objects = open_store(spark, root).select("path", F.col("length").alias("size"))
+    objects = open_store(spark, root, prefix).select("path", F.col("length").alias("size"))
     keyed = objects.withColumn("relative", _key_of(F.col("path"), root))
     return keyed.where(F.startswith("relative", F.lit(prefix)) & (F.col("size") > 0)).select(
         "path", "relative", "size", F.lit(False).alias("link"), F.lit(None).cast("string").alias("error")
@@ -264,7 +275,7 @@ def read_objects(
     )
     if rules.allow:
         wanted = wanted & ~path_matches(rules.allow, key)
-    return open_store(spark, root).where(wanted).select(
+    return open_store(spark, root, prefix).where(wanted).select(
         "path", F.col("length").alias("size"), "content", F.lit(None).cast("string").alias("error")
     )
 
