@@ -82,7 +82,7 @@ def _marks(docs: DataFrame, least: int, bits: int) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 21):
             lines = _Lines(texts_of(batch), least)
             found = lines.hashes[lines.code[lines.once_a_row()]]
             for places in _positions(found, bits):
@@ -142,7 +142,7 @@ def _twice_seen(docs: DataFrame, least: int, bits: int) -> _Filter:
 
 def _suspects(docs: DataFrame, least: int, shared) -> DataFrame:
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 21):
             lines = _Lines(texts_of(batch), least)
             likely = shared.value.has(lines.hashes)
             digests = [_digest(k) if s else None for k, s in zip(lines.keys, likely)]
@@ -192,7 +192,7 @@ def dedup_lines(
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rewrite(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 21):
             texts = texts_of(batch)
             lines = _Lines(texts, least_chars)
             ids = batch.column("doc_id").to_pylist()

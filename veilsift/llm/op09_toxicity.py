@@ -197,7 +197,7 @@ def _counts(sample: DataFrame, wanted=None) -> DataFrame:
     """In how many texts each word beginning and word occurs (only ``wanted`` ones, if given)."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 21):
             starts, codes, vocabulary = split_words(texts_of(batch))
             row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
             bare = _bare(vocabulary)
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, most_stems:
     shared = spark.sparkContext.broadcast(grammar)
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 21):
             values = shared.value.features(texts_of(batch)).ravel()
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * FEATURES)
             yield pa.record_batch([batch.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(values))], ["toxic", "x"])
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c != "toxicity"]
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 21):
             scores = pa.array(shared.value.scores(texts_of(batch)), pa.float64())
             yield pa.record_batch([*(batch.column(c) for c in names), scores], [*names, "toxicity"])
 
@@ -285,7 +285,7 @@ def reject_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 21):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch)) < least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -154,7 +154,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, least: int = 5, share:
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            for batch in sliced(batches):
+            for batch in sliced(batches, 1 << 21):
                 ids, own = batch.column("doc_id").to_pylist(), shared.value
                 out = [
                     (ids[r], own.ids[i], len(own.words[i]), len(t), sum(n for _, _, n in t), sum(n for _, _, n in t) / len(own.words[i]))
@@ -175,7 +175,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, least: int = 5, share: floa
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            for batch in sliced(batches):
+            for batch in sliced(batches, 1 << 21):
                 keep = np.ones(batch.num_rows, bool)
                 for row, _, _ in shared.value.matches(texts_of(batch), share):
                     keep[row] = False
