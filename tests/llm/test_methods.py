@@ -319,6 +319,23 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(len(found[i]) == 1 for i in range(40))
 
 
+def _found(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = op08_pii.find_personal_data(docs).collect()
+    return {r["doc_id"]: [(s["kind"], s["value"]) for s in r["spans"] if s["rank"] > 3] for r in out}
+
+
+def test_records_hold_instances_and_patterns(spark):
+    """One label at the start of a text, a label after another identifier, words after, lines of one word."""
+    rows = [(i, f"Phone: +1-555-{100 + i}-{2000 + i}\nEmail: a{i}@box{i}.org Mobile: +1-444-{100 + i}-{3000 + i}") for i in range(20)]
+    rows += [(50 + i, f"+1-333-{100 + i}-{2000 + i} rings daily") for i in range(20)]
+    rows += [(100, "Phone: 555-0199-77"), (101, "Email: ann@box.org Mobile: 0199-5577-33"), (102, "x\nPhone: 0177-55"), (103, "0155-77 rings daily")]
+    found = _found(spark, [*rows, (104, "Year: 20255")])
+    assert [found[i] for i in range(100, 105)] == [
+        [("found_phone", "555-0199-77")], [("found_phone", "0199-5577-33")], [("found_phone", "0177-55")], [("found_phone", "0155-77")], [],
+    ]
+
+
 # 9
 
 

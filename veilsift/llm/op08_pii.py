@@ -1,8 +1,9 @@
 """PII (8): bootstrapped contextual extraction.
 
 E-mail addresses, IP addresses, card and phone numbers found by their own rules are the
-seeds.  The two words before an identifier-like token are its *pattern*, the token is an
-*instance*; both form a graph over the whole corpus.  Rounds of joins score it: a pattern
+seeds.  Words before and after an identifier-like token, with ends of lines and other tokens
+as placeholders, are its *patterns*, the token is an *instance*; both form a graph over the
+whole corpus.  Rounds of joins score it: a pattern
 is as good for a kind as the mean confidence of its instances, an instance without a kind
 of its own as good as its best pattern.  Patterns that many different seeds support and
 that score high then discover instances that no rule finds, as spans ``found_<kind>``.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsift.functions.spans import find_spans, unmarked
+from veilsift.functions.spans import _MARK, find_spans, let, no_spans, record, unmarked
 
 from .common import written
 from .native_spans import FOUND, count_of, joined, kind_spans
@@ -34,8 +35,8 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-#: Two words without digits, then a token with a digit or an at sign.
-CONTEXT = r"(?<!\S)[^\s0-9@]++\s++[^\s0-9@]++\s++[^\s0-9@]*+[0-9@]\S*+"
+#: An identifier-like token: a digit or an at sign between white space.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 
 def _digits(value: Column) -> Column:
@@ -67,26 +68,61 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(found)
 
 
+def _words(gap: Column) -> Column:
+    """Lower-cased words of the text between two tokens, without marks at their ends."""
+    plain = F.regexp_replace(F.lower(gap), r"[^\p{L}\p{M}\s]+", "-")
+    return F.filter(F.transform(F.split(plain, r"\s+"), lambda w: F.regexp_replace(w, "^-|-$", "")), lambda w: w != "")
+
+
+def _gap(gap: Column) -> Column:
+    lines = [_words(F.substring_index(gap, "\n", side)) for side in (1, -1)]
+    return record(words=_words(gap), first=lines[0], last=lines[1], broken=F.contains(gap, F.lit("\n")))
+
+
+def _contexts(before: Column, after: Column, first: Column, last: Column) -> Column:
+    """Patterns of a token (``_``) between two gaps: one and two words before, as many after, the same
+    within its line, and the neighbours on both sides.
+
+    ``^`` and ``$`` stand for the ends of the text or line, ``#`` for another token.
+    """
+    head, tail = F.when(first, "^").otherwise("#"), F.when(last, "$").otherwise("#")
+    left, right = F.concat(F.array(head), before["words"]), F.concat(after["words"], F.array(tail))
+    left_line = F.concat(F.array(F.when(before["broken"], "^").otherwise(head)), before["last"])
+    right_line = F.concat(after["first"], F.array(F.when(after["broken"], "$").otherwise(tail)))
+
+    def ends(words: Column, n: int) -> Column:
+        return F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n)), " ")
+
+    def begins(words: Column, n: int) -> Column:
+        return F.array_join(F.slice(words, 1, n), " ")
+
+    token = F.lit("_")
+    told = [F.concat_ws(" ", ends(w, n), token) for w, n in ((left, 1), (left, 2), (left_line, 2))]
+    told += [F.concat_ws(" ", token, begins(w, n)) for w, n in ((right, 1), (right, 2), (right_line, 2))]
+    told.append(F.concat_ws(" ", ends(left_line, 1), token, begins(right_line, 1)))
+    # a pattern holds a word, or the token is a line of its own
+    return F.array_distinct(F.filter(F.array(*told), lambda p: p.rlike(r"\p{L}") | (p == "^ _ $")))
+
+
 def occurrences(text: Column) -> Column:
-    """Identifier-like tokens with their two words before: ``pattern, token, start, end``.
+    """Identifier-like tokens with their contexts: ``patterns, token, start, end``.
 
     Marks at both ends of a token are not part of it; letter case and marks of words are dropped.
     """
-    found = F.when(text.rlike("[0-9@]"), find_spans(text, CONTEXT, "context")).otherwise(
-        F.expr("cast(array() as array<struct<start:int,end:int,value:string,subtype:string,data_type:string>>)")
-    )
+    found = F.when(text.rlike("[0-9@]"), find_spans(text, TOKEN, "context")).otherwise(no_spans())
+    # the texts between the tokens, one more than there are tokens
+    gaps = F.when(text.rlike("[0-9@]"), F.split(F.regexp_replace(text, TOKEN, _MARK), _MARK, -1)).otherwise(F.array(F.lit("")))
+    both = record(found=found, gaps=F.transform(gaps, _gap))
 
-    def one(s: Column) -> Column:
-        raw = F.regexp_extract(s["value"], r"(\S+)$", 1)
+    def one(s: Column, i: Column, b: Column) -> Column:
+        raw = s["value"]
         tail = F.length(raw) - F.length(F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", ""))
         token = F.regexp_replace(F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", ""), r"^[(\[{<\"'|]+", "")
-        words = F.regexp_replace(F.lower(F.regexp_extract(s["value"], r"^(\S+\s+\S+)", 1)), r"[^\p{L}\p{M}]+", " ")
         end = s["end"] - tail
-        return F.named_struct(
-            F.lit("pattern"), F.trim(words), F.lit("token"), token, F.lit("start"), end - F.length(token), F.lit("end"), end
-        )
+        patterns = _contexts(F.get(b["gaps"], i), F.get(b["gaps"], i + 1), i == 0, i == F.size(b["found"]) - 1)
+        return record(patterns=patterns, token=token, start=end - F.length(token), end=end)
 
-    return F.transform(found, one)
+    return let(both, lambda b: F.transform(b["found"], lambda s, i: one(s, i, b)))
 
 
 @dataclass(frozen=True)
@@ -135,15 +171,17 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
 
     seen = rows.select("id", "tid", "base", F.explode("seen").alias("o")).select("id", "tid", "base", "o.*")
     over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    seen = seen.select("id", "tid", "pattern", "token", "start", "end", F.get(over, F.lit(0)).alias("seed"))
+    seen = seen.select("id", "tid", "patterns", "token", "start", "end", F.get(over, F.lit(0)).alias("seed"))
     # a seed counts as the whole value that its rule found, of which the token may be the first part
     instance = F.lower(F.coalesce("seed.value", "token")).alias("token")
     seen = seen.withColumn("kind", F.col("seed.kind"))
-    trusted = score_patterns(seen.where("pattern <> ''").select("pattern", instance, "kind"), how)
+    trusted = score_patterns(seen.select(F.explode("patterns").alias("pattern"), instance, "kind"), how)
     trusted = trusted.where((F.col("confidence") >= how.confidence) & (F.col("seeds") >= how.seeds))
-    trusted = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("guess"))
 
-    new = seen.where(F.col("kind").isNull() & (F.length(_digits(F.col("token"))) >= how.digits)).join(trusted, "pattern")
+    new = seen.where(F.col("kind").isNull() & (F.length(_digits(F.col("token"))) >= how.digits))
+    new = new.select("id", "tid", "token", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
+    # the best of the patterns that hold an occurrence decides
+    new = new.groupBy("id", "tid", "token", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("guess"))
     ranks = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, len(KINDS) + i)])
     span = F.struct(
         "start", ranks[F.col("guess")].alias("rank"), F.concat(F.lit("found_"), "guess").alias("kind"), "end",
