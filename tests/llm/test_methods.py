@@ -336,6 +336,23 @@ def test_records_hold_instances_and_patterns(spark):
     ]
 
 
+def test_discoveries_are_whole_values(spark):
+    rows = [(i, f"the hotline number +1 555 {100 + i} {2000 + i} today and reach mailbox a{i}@box{i}.org now") for i in range(20)]
+    cases = {
+        100: ("hotline number 0171 5557 713, thanks", [("found_phone", "0171 5557 713")]),
+        101: ("hotline number (017) 555-7713 works", [("found_phone", "(017) 555-7713")]),
+        102: ("reach mailbox ann@intranet now", [("found_email", "ann@intranet")]),
+        103: ("hotline number (0171 5557 713). 3rd", [("found_phone", "0171 5557 713")]),
+        104: ("hotline number 0171 5557 3rd floor", [("found_phone", "0171 5557")]),
+        105: ("hotline number 12 or reach mailbox 123456 now", []),
+        106: ("hotline number 0171-55, 0172-66 x", [("found_phone", "0171-55")]),
+        107: ("hotline number 0171\u00a05557\u00a0713", [("found_phone", "0171\u00a05557\u00a0713")]),
+        108: ("hotline number 0171 5557 10.0.0.1", [("found_phone", "0171 5557")]),
+    }
+    found = _found(spark, rows + [(i, t) for i, (t, _) in cases.items()])
+    assert {i: found[i] for i in cases} == {i: want for i, (_, want) in cases.items()}
+
+
 # 9
 
 

@@ -35,8 +35,17 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-#: An identifier-like token: a digit or an at sign between white space.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: An identifier-like token: a digit or an at sign between white space.  A number goes on over groups of
+#: digits after single blanks, up to a group that other characters follow, or an IP address.
+_NO_IP = r"(?![0-9]+(?:\.[0-9]+){3}(?![0-9.]))"
+_GROUP = rf"{_NO_IP}[0-9]++(?:\)?[-./]?\(?[0-9]++)*+\)?+"
+_ENDS = r"(?=[.,;:!?)\]}>\"'|]*+(?!\S))"
+TOKEN = (
+    rf"(?<!\S)[^\s0-9@]*+(?:(?<!\p{{L}}){_GROUP}(?:[\x20\xa0]\(?{_GROUP}{_ENDS})++|[0-9@]\S*+)"
+)
+
+#: An opening mark that is no part of a token; ``(017) 555`` keeps its own.
+_OPENS = r"^(?:(?!\(\+?[0-9]+\).*[0-9])[(\[{<\"'|])+"
 
 
 def _digits(value: Column) -> Column:
@@ -117,7 +126,7 @@ def occurrences(text: Column) -> Column:
     def one(s: Column, i: Column, b: Column) -> Column:
         raw = s["value"]
         tail = F.length(raw) - F.length(F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", ""))
-        token = F.regexp_replace(F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", ""), r"^[(\[{<\"'|]+", "")
+        token = F.regexp_replace(F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", ""), _OPENS, "")
         end = s["end"] - tail
         patterns = _contexts(F.get(b["gaps"], i), F.get(b["gaps"], i + 1), i == 0, i == F.size(b["found"]) - 1)
         return record(patterns=patterns, token=token, start=end - F.length(token), end=end)
@@ -125,9 +134,14 @@ def occurrences(text: Column) -> Column:
     return let(both, lambda b: F.transform(b["found"], lambda s, i: one(s, i, b)))
 
 
+def _fits(token: Column, kind: Column, how: Bootstrap) -> Column:
+    """May ``token`` be a discovery of ``kind``?"""
+    return F.when(kind == "email", token.rlike("[^@]@[^@]")).otherwise(F.length(_digits(token)) >= how.digits)
+
+
 @dataclass(frozen=True)
 class Bootstrap:
-    """How patterns are trusted: different seeds, confidence, rounds, least digits of a token."""
+    """How patterns are trusted: different seeds, confidence, rounds, least digits of a value (e-mail: an at sign)."""
 
     seeds: int = 3
     confidence: float = 0.8
@@ -171,15 +185,16 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
 
     seen = rows.select("id", "tid", "base", F.explode("seen").alias("o")).select("id", "tid", "base", "o.*")
     over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    seen = seen.select("id", "tid", "patterns", "token", "start", "end", F.get(over, F.lit(0)).alias("seed"))
+    # a token of several groups may touch several seeds
+    seen = seen.select("id", "tid", "patterns", "token", "start", "end", F.explode_outer(over).alias("seed"))
     # a seed counts as the whole value that its rule found, of which the token may be the first part
     instance = F.lower(F.coalesce("seed.value", "token")).alias("token")
     seen = seen.withColumn("kind", F.col("seed.kind"))
     trusted = score_patterns(seen.select(F.explode("patterns").alias("pattern"), instance, "kind"), how)
     trusted = trusted.where((F.col("confidence") >= how.confidence) & (F.col("seeds") >= how.seeds))
 
-    new = seen.where(F.col("kind").isNull() & (F.length(_digits(F.col("token"))) >= how.digits))
-    new = new.select("id", "tid", "token", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
+    new = seen.where("kind is null").select("id", "tid", "token", "start", "end", F.explode("patterns").alias("pattern"))
+    new = new.join(trusted, "pattern").where(_fits(F.col("token"), F.col("kind"), how))
     # the best of the patterns that hold an occurrence decides
     new = new.groupBy("id", "tid", "token", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("guess"))
     ranks = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, len(KINDS) + i)])
