@@ -353,6 +353,19 @@ def test_discoveries_are_whole_values(spark):
     assert {i: found[i] for i in cases} == {i: want for i, (_, want) in cases.items()}
 
 
+def test_discoveries_support_further_patterns(spark):
+    """Extensions found after a trusted label make a second label trusted that no seed follows, and that one a third."""
+    rows = [(i, f"hotline number +1-555-{100 + i}-{2000 + i}") for i in range(700)]
+    for k, (known, new) in enumerate([("hotline number", "zentrale anschluss"), ("zentrale anschluss", "poste interne")]):
+        for i in range((100, 20)[k]):
+            rows += [(1000 * k + 1000 + i, f"{known} 0{k}99-{1000 + i}"), (1000 * k + 1500 + i, f"{new} 0{k}99-{1000 + i}")]
+    rows += [(9000, "poste interne 0777-4455"), (9001, "baujahr etwa 0777-4466")]
+    found = _found(spark, rows)
+    assert found[9000] == [("found_phone", "0777-4455")] and found[9001] == []
+    docs = spark.createDataFrame([(1, "1234 " * 50_000), (2, "x " + "12 3x " * 20_000)], "doc_id long, text string")
+    assert op08_pii.find_personal_data(docs).count() == 2
+
+
 # 9
 
 

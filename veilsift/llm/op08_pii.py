@@ -5,8 +5,9 @@ seeds.  Words before and after an identifier-like token, with ends of lines and
 as placeholders, are its *patterns*, the token is an *instance*; both form a graph over the
 whole corpus.  Rounds of joins score it: a pattern
 is as good for a kind as the mean confidence of its instances, an instance without a kind
-of its own as good as its best pattern.  Patterns that many different seeds support and
-that score high then discover instances that no rule finds, as spans ``found_<kind>``.
+of its own as good as its best pattern.  Patterns that many different instances support,
+seeds or instances accepted in earlier rounds, and that score high then discover instances
+that no rule finds, as spans ``found_<kind>``.
 All of it is DataFrame operations; texts are read once, the graph holds no texts.
 
 Null text is empty.  Rows that share id and text get the same spans.  Extra columns pass
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsift.functions.spans import _MARK, find_spans, let, no_spans, record, unmarked
+from veilsift.functions.spans import _MARK, let, record, unmarked
 
 from .common import written
 from .native_spans import FOUND, count_of, joined, kind_spans
@@ -113,25 +114,49 @@ def _contexts(before: Column, after: Column, first: Column, last: Column) -> Col
     return F.array_distinct(F.filter(F.array(*told), lambda p: p.rlike(r"\p{L}") | (p == "^ _ $")))
 
 
+def _starts(lengths: Column, block: int = 128) -> Column:
+    """Sums of all lengths before each, by blocks, as a fold copies its array at each step."""
+
+    def fold(values: Column, at: Column) -> Column:
+        none = record(at=at, out=F.expr("cast(array() as array<int>)"))
+        step = lambda acc, x: record(at=acc["at"] + x, out=F.concat(acc["out"], F.array(acc["at"])))
+        return F.aggregate(values, none, step)["out"]
+
+    last = F.floor((F.size(lengths) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(lengths, j * block + 1, F.lit(block)))
+
+    def whole(own: Column) -> Column:
+        sums = F.transform(own, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+        return let(fold(sums, F.lit(0)), lambda bases: F.flatten(F.transform(own, lambda x, j: fold(x, F.get(bases, j)))))
+
+    return let(blocks, whole)
+
+
 def occurrences(text: Column) -> Column:
     """Identifier-like tokens with their contexts: ``patterns, token, start, end``.
 
     Marks at both ends of a token are not part of it; letter case and marks of words are dropped.
     """
-    found = F.when(text.rlike("[0-9@]"), find_spans(text, TOKEN, "context")).otherwise(no_spans())
-    # the texts between the tokens, one more than there are tokens
-    gaps = F.when(text.rlike("[0-9@]"), F.split(F.regexp_replace(text, TOKEN, _MARK), _MARK, -1)).otherwise(F.array(F.lit("")))
-    both = record(found=found, gaps=F.transform(gaps, _gap))
-
-    def one(s: Column, i: Column, b: Column) -> Column:
-        raw = s["value"]
-        tail = F.length(raw) - F.length(F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", ""))
-        token = F.regexp_replace(F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", ""), _OPENS, "")
-        end = s["end"] - tail
-        patterns = _contexts(F.get(b["gaps"], i), F.get(b["gaps"], i + 1), i == 0, i == F.size(b["found"]) - 1)
+    marked = F.split(F.regexp_replace(text, TOKEN, f"{_MARK}$0{_MARK}"), _MARK, -1)  # gap, token, gap, ...
+    parts = F.when(text.rlike("[0-9@]"), marked).otherwise(F.array(F.lit("")))
+
+    def count(b: Column) -> Column:
+        return F.floor(F.size(b["parts"]) / 2).cast("int")
+
+    def one(i: Column, b: Column) -> Column:
+        raw = F.get(b["parts"], 2 * i + 1)
+        bare = F.regexp_replace(raw, r"[.,;:!?)\]}>\"'|]+$", "")
+        token = F.regexp_replace(bare, _OPENS, "")
+        end = F.get(b["starts"], 2 * i + 1) + F.length(bare)
+        patterns = _contexts(F.get(b["gaps"], i), F.get(b["gaps"], i + 1), i == 0, i == count(b) - 1)
         return record(patterns=patterns, token=token, start=end - F.length(token), end=end)
 
-    return let(both, lambda b: F.transform(b["found"], lambda s, i: one(s, i, b)))
+    def every(p: Column) -> Column:
+        gaps = F.filter(p, lambda _, i: i % 2 == 0)
+        both = record(parts=p, gaps=F.transform(gaps, _gap), starts=_starts(F.transform(p, F.length)))
+        return let(both, lambda b: F.transform(F.slice(F.sequence(F.lit(0), count(b)), F.lit(1), count(b)), lambda i: one(i, b)))
+
+    return let(parts, every)
 
 
 def _fits(token: Column, kind: Column, how: Bootstrap) -> Column:
@@ -141,7 +166,7 @@ def _fits(token: Column, kind: Column, how: Bootstrap) -> Column:
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """How patterns are trusted: different seeds, confidence, rounds, least digits of a value (e-mail: an at sign)."""
+    """How patterns are trusted: support in seeds, confidence, rounds, least digits of a value (e-mail: an at sign)."""
 
     seeds: int = 3
     confidence: float = 0.8
@@ -151,24 +176,41 @@ class Bootstrap:
 
 
 def score_patterns(edges: DataFrame, how: Bootstrap) -> DataFrame:
-    """``pattern, kind, confidence, seeds`` from the graph ``pattern, token, kind`` (null: none known).
+    """``pattern, kind, confidence, support`` from the graph ``pattern, token, kind, fits`` (kind null: none
+    known; ``fits``: the kinds that the token may be).
 
-    Edges are distinct before they shuffle; each round joins tables of patterns and of tokens.
+    Edges are distinct before they shuffle; each round joins tables of patterns and of tokens.  What trusted
+    patterns accept in one round supports all its patterns in the next, by its confidence.
     """
-    graph = edges.groupBy("pattern", "token").agg(F.max("kind").alias("kind"))
+    graph = edges.groupBy("pattern", "token").agg(F.max("kind").alias("kind"), F.first("fits").alias("fits"))
     graph = written(graph, "pii-graph")
     seeds = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    size = graph.groupBy("pattern").agg(F.count("*").alias("size"))
-    seeds = written(seeds.join(size, "pattern"), "pii-seeds")
-    conf = seeds.select("pattern", "kind", (F.col("seeds") / (F.col("size") + how.smoothing)).alias("confidence"))
-    unknown = graph.where("kind is null").select("pattern", "token")
+    seeds = written(seeds, "pii-seeds")
+    size = written(graph.groupBy("pattern").agg(F.count("*").alias("size")), "pii-sizes")
+    conf = seeds.join(size, "pattern").select(
+        "pattern", "kind", (F.col("seeds") / (F.col("size") + how.smoothing)).alias("confidence"),
+        F.col("seeds").cast("double").alias("support"),
+    )
+    unknown = graph.where("kind is null").select("pattern", "token", "fits")
+    zero = F.lit(0.0)
     for _ in range(how.rounds):
-        best = unknown.join(conf, "pattern").groupBy("token", "kind").agg(F.max("confidence").alias("c"))
-        gained = unknown.join(best, "token").groupBy("pattern", "kind").agg(F.sum("c").alias("gain"))
-        total = seeds.join(gained, ["pattern", "kind"], "left")
-        mean = (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("size") + how.smoothing)
-        conf = written(total.select("pattern", "kind", mean.alias("confidence")), "pii-round")
-    return conf.join(seeds.select("pattern", "kind", "seeds"), ["pattern", "kind"])
+        sure = F.when(_trusted(how) & F.array_contains("fits", F.col("kind")), F.col("confidence"))
+        best = unknown.join(conf, "pattern").groupBy("token", "kind").agg(
+            F.max("confidence").alias("c"), F.max(sure).alias("accepted")
+        )
+        gained = unknown.join(best, "token").groupBy("pattern", "kind").agg(
+            F.sum("c").alias("gain"), F.sum("accepted").alias("backed")
+        )
+        total = seeds.join(gained, ["pattern", "kind"], "full").join(size, "pattern")
+        own = F.coalesce("seeds", zero)
+        mean = (own + F.coalesce("gain", zero)) / (F.col("size") + how.smoothing)
+        support = own + F.coalesce("backed", zero)
+        conf = written(total.select("pattern", "kind", mean.alias("confidence"), support.alias("support")), "pii-round")
+    return conf
+
+
+def _trusted(how: Bootstrap) -> Column:
+    return (F.col("confidence") >= how.confidence) & (F.col("support") >= how.seeds)
 
 
 def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
@@ -190,8 +232,12 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
     # a seed counts as the whole value that its rule found, of which the token may be the first part
     instance = F.lower(F.coalesce("seed.value", "token")).alias("token")
     seen = seen.withColumn("kind", F.col("seed.kind"))
-    trusted = score_patterns(seen.select(F.explode("patterns").alias("pattern"), instance, "kind"), how)
-    trusted = trusted.where((F.col("confidence") >= how.confidence) & (F.col("seeds") >= how.seeds))
+    fits = F.filter(F.array(*map(F.lit, KINDS)), lambda k: _fits(F.col("token"), k, how))
+    edges = seen.select("patterns", instance, "kind", fits.alias("fits"))
+    # long lists of numbers are one token: the graph knows them by a digest
+    key = F.when(F.length("token") > 64, F.sha2("token", 256)).otherwise(F.col("token")).alias("token")
+    edges = edges.select(F.explode("patterns").alias("pattern"), key, "kind", "fits")
+    trusted = score_patterns(edges, how).where(_trusted(how))
 
     new = seen.where("kind is null").select("id", "tid", "token", "start", "end", F.explode("patterns").alias("pattern"))
     new = new.join(trusted, "pattern").where(_fits(F.col("token"), F.col("kind"), how))
