@@ -36,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing (4): one row per piece of a sequence."""
-    return pack(spark, docs, with_ids=False).drop("ids")
+    """Packing (4): one row per piece of a sequence, with its token ids."""
+    return pack(spark, docs)
 
 
 STAGES = [

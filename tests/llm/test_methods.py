@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import compare, oracle
-from veilsift.llm import op01_secrets, op02_line_dedup, op06_jaccard_join, op08_pii
+from veilsift.llm import op01_secrets, op02_line_dedup, op04_packing, op06_jaccard_join, op08_pii
 from veilsift.llm import op09_toxicity as tox
 from veilsift.llm.components import components
 from veilsift.llm.op04_packing import op4_packing, pack
@@ -159,6 +159,26 @@ def test_packing_returns_the_ids(spark, texts, reference_ids):
     assert max(steps.values()) <= 8192
 
 
+def test_the_last_stage_holds_sequences(spark, texts, reference_ids):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    pieces, sequences = collections.defaultdict(bytes), collections.defaultdict(bytes)
+    for r in corpus_pipeline.packing(spark, docs, SMALL).orderBy("doc_id", "start").collect():
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        pieces[r["doc_id"]] += r["ids"]
+        sequences[r["sequence_id"]] += r["ids"]
+    assert sum(len(s) not in (2048, 4096, 8192, 16384) for s in sequences.values()) <= 1
+    for doc_id, text in texts.items():
+        assert np.frombuffer(pieces[doc_id], "<u4").tolist() == reference_ids.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_digests_are_of_the_ids_returned(spark, monkeypatch):
+    def other(*args, **options):
+        return pack(*args, **options).withColumn("ids", F.when(F.col("ids").isNotNull(), F.encode(F.lit("other"), "utf-8")))
+
+    monkeypatch.setattr(op04_packing, "pack", other)
+    assert op4_packing(spark, SMALL).select("ids_crc32").distinct().collect() == [(zlib.crc32(b"other"),)]
+
+
 # 5
 
 

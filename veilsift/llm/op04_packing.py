@@ -191,5 +191,5 @@ def pack(
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 4096 ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pieces = pack(spark, docs, with_ids=False)
+    pieces = pack(spark, docs).withColumn("ids_crc32", F.crc32("ids"))  # of what a reader gets
     return pieces.select(*[c.split()[0] for c in PIECES.split(", ")][:-1])
