@@ -405,6 +405,25 @@ def test_composition():
     assert read(*[tox.NEGATION, *[tox.OTHER] * 3, tox.INSULT])[-1] == 0
 
 
+def test_clauses_are_read_whole():
+    rng, grammar = random.Random(9), tox.Grammar({})
+    words = ["idiot", "kill", "you", "not", "said", *["so"] * 40, "so."]
+    cases = [f"they said {'so ' * 90}idiot", f"idiot {'so ' * 90}idiot", "", "said so. idiot"]
+    cases += [" ".join(rng.choices(words, k=rng.randint(0, 400))) for _ in range(200)]
+    for text, own in zip(cases, grammar.features(pa.array(cases, pa.string()))):
+        sums, largest = np.zeros(tox.PATTERNS), 0.0
+        for part in re.findall(r"[^.]+", text):
+            state, clause = 0, 0.0
+            for w in part.split():
+                kind, weight = grammar.symbol(w)
+                if tox.EMIT[state, kind] >= 0:
+                    sums[tox.EMIT[state, kind]] += weight
+                    clause += weight
+                state = tox.NEXT[state, kind]
+            largest = max(largest, clause)
+        assert np.allclose(own[: tox.PATTERNS], np.log1p(sums)) and own[tox.PATTERNS] == largest, text
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

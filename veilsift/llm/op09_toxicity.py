@@ -140,6 +140,8 @@ class Grammar:
         out[:, -1] = 1
         symbols = kinds[codes]
         hits = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
+        told = np.flatnonzero(symbols != OTHER)
+        ends = np.flatnonzero(closes[codes])
         owner = np.searchsorted(starts, hits, side="right") - 1
         for row, own in itertools.groupby(zip(owner.tolist(), hits.tolist()), key=lambda p: p[0]):
             lo, hi = int(starts[row]), int(starts[row + 1])
@@ -147,22 +149,23 @@ class Grammar:
             for _, at in own:
                 if at < done:
                     continue  # its clause has been read
-                first = at
-                while first > max(done, at - 40) and not closes[codes[first - 1]]:
-                    first -= 1
+                k = int(np.searchsorted(ends, at))
+                first = max(lo, int(ends[k - 1]) + 1 if k else 0)
+                done = min(hi, int(ends[k]) + 1 if k < len(ends) else hi)
                 state, clause, place = 0, 0.0, first
-                while place < hi and place < at + 40:
-                    code = codes[place]
+                for word in told[np.searchsorted(told, first) : np.searchsorted(told, done)].tolist():
+                    while place < word and NEXT[state, OTHER] != state:
+                        state = NEXT[state, OTHER]
+                        place += 1  # once other words change nothing, the rest of them is passed over
+                    code = codes[word]
                     emitted = EMIT[state, kinds[code]]
                     if emitted >= 0:
                         sums[emitted] += weights[code]
                         clause += weights[code]
                         count += 1
                     state = NEXT[state, kinds[code]]
-                    place += 1
-                    if closes[code]:
-                        break
-                done, largest = place, max(largest, clause)
+                    place = word + 1
+                largest = max(largest, clause)
             out[row, :PATTERNS] = np.log1p(sums)
             out[row, PATTERNS] = largest
             out[row, PATTERNS + 1] = 100 * sums.sum() / (hi - lo + 50)
