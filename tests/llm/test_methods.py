@@ -46,8 +46,8 @@ def test_query_equals_sql(spark, name):
     assert "equal" in outcome, outcome
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
+def test_all_operators_and_the_pipeline_are_registered():
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 

@@ -13,15 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.plans.shared import new_folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from veilsift.plans.shared import written  # noqa: F401, the operators take it from here
 
 
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
