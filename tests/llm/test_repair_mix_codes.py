@@ -191,7 +191,7 @@ def test_targets_fill_up_to_the_limit(spark):
     assert sum(got.values()) == pytest.approx(total)
 
 
-def test_mix_is_near_its_targets_and_the_same_again(spark, many_parts):
+def test_mix_is_near_its_targets_and_the_same_again(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), "w " * int(10 ** rng.uniform(0, 3.3))) for i in range(3000)]
     table = documents(spark, rows)
@@ -209,20 +209,21 @@ def test_mix_is_near_its_targets_and_the_same_again(spark, many_parts):
 
 
 def test_every_document_keeps_its_mean(spark):
-    """Over many seeds each document is taken as often as its source's rate says."""
-    rows = [(i, "a" if i % 2 else "b", "w " * (1 + 37 * i % 90)) for i in range(40)]
-    units = documents(spark, rows)
-    total = dict.fromkeys(range(40), 0)
-    runs = 60
-    for seed in range(runs):
-        for r in mixing.mix(units, mixing.Mix(seed=seed, fan=8, tiers=(16,))).collect():
-            total[r["doc_id"]] += r["copies"]
-            rate = r["target"] / r["source_size"] if r["source"] == "a" else None
-            if rate is not None:
-                expected = rate
-    means = np.array([total[i] / runs for i in range(40) if i % 2])
-    assert abs(means - expected).max() < 0.27  # 4 standard errors of a coin over 60 runs
-    assert abs(means.mean() - expected) < 0.05
+    """Over many sources alike each place is taken as often as the rate says, and no source is far off."""
+    sizes = [1 + 37 * i % 90 for i in range(24)]
+    rows = [(100 * s + i, f"s{s:03}", "w " * n) for s in range(600) for i, n in enumerate(sizes)]
+    out = mixing.mix(documents(spark, rows), mixing.Mix(fan=8, tiers=(16,))).collect()
+    for k in range(3):
+        own = [r for r in out if r["doc_id"] // 100 % 3 == k]
+        rate = own[0]["target"] / own[0]["source_size"]
+        share = rate % 1
+        error = (share * (1 - share) / 200) ** 0.5
+        means = [sum(r["copies"] for r in own if r["doc_id"] % 100 == i) / 200 for i in range(len(sizes))]
+        assert max(abs(m - rate) for m in means) <= 4 * error + 1e-9
+        taken = {}
+        for r in own:
+            taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        assert max(abs(t - own[0]["target"]) for t in taken.values()) <= 16
 
 
 def test_odd_documents_of_a_mix(spark):

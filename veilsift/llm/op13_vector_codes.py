@@ -121,7 +121,7 @@ def _first_books(rows: DataFrame, dimension: int, parts: int, entries: int) -> n
     """Integer codebooks (part, entry, component) of the first rows: at most ``entries`` rows are fetched."""
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries).select("embedding").collect()
     whole = integers(pa.array([r["embedding"] for r in first], pa.list_(pa.float64())), dimension)
-    return whole.reshape(len(first), parts, -1).transpose(1, 0, 2)
+    return whole.reshape(len(first), parts, dimension // parts).transpose(1, 0, 2)
 
 
 def _improved(rows: DataFrame, books: np.ndarray) -> np.ndarray:
