@@ -64,15 +64,40 @@ def _at(start: str, part: str) -> str:
     )
 
 
-# one match is the common case and needs no fold
+_INTS = "cast(array() as array<int>)"
+
+
+def _running(values: str, first: str) -> str:
+    """SQL: ``first`` plus the sums of all ``values`` before each, one fold.  A fold copies
+    its array at each step, so ``values`` should be few."""
+    return f"""aggregate({values}, named_struct('at', {first}, 'out', {_INTS}),
+        (acc, x) -> named_struct('at', acc.at + x, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"""
+
+
+def starts_sql(lengths: str) -> str:
+    """SQL: the sum of all ``lengths`` (array of int) before each, in blocks of the root of
+    their number: n values cost n * sqrt(n) copies instead of n * n."""
+    blocks = "transform(sequence(0, (size(own) - 1) div width), j -> slice(own, j * width + 1, width))"
+    sums = "transform(parts, x -> aggregate(x, 0, (s, v) -> s + v))"
+    whole = f"flatten(zip_with(parts, bases, (x, base) -> {_running('x', 'base')}))"
+    with_bases = f"transform(array({_running(sums, '0')}), bases -> {whole})[0]"
+    with_parts = f"transform(array({blocks}), parts -> {with_bases})[0]"
+    in_blocks = f"transform(array(cast(ceil(sqrt(size(own))) as int)), width -> {with_parts})[0]"
+    return f"transform(array({lengths}), own -> if(size(own) = 0, {_INTS}, {in_blocks}))[0]"
+
+
+def starts_of(lengths: Column) -> Column:
+    """The sum of all lengths before each."""
+    return let(lengths, f"given -> {starts_sql('given')}")
+
+
+# one match is the common case and needs no sums
 _PLACE = f"""m -> if(not contains(m, '{_MARK}'), cast(array() as array<{SPAN}>), transform(array(split(m, '{_MARK}', -1)),
-    parts -> if(size(parts) = 3, array({_at("length(parts[0])", "parts[1]")}), aggregate(
-        sequence(0, size(parts) div 2 - 1),
-        named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>)),
-        (acc, i) -> named_struct(
-            'pos', acc.pos + length(parts[2 * i]) + length(parts[2 * i + 1]),
-            'out', concat(acc.out, array({_at("acc.pos + length(parts[2 * i])", "parts[2 * i + 1]")}))),
-        acc -> acc.out)))[0])"""
+    parts -> if(size(parts) = 3, array({_at("length(parts[0])", "parts[1]")}), transform(
+        array({starts_sql("transform(parts, p -> length(p))")}),
+        starts -> transform(
+            sequence(0, size(parts) div 2 - 1),
+            i -> {_at("starts[2 * i + 1]", "parts[2 * i + 1]")}))[0]))[0])"""
 
 
 def _quoted(text: str | None) -> str:
