@@ -1,9 +1,15 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing names, for every operator."""
 
+import collections
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from veilsift.llm import op01_secrets
 from veilsift.llm import op09_toxicity as tox
 from veilsift.llm.op01_secrets import find_secrets
 from veilsift.llm.op02_line_dedup import dedup_lines
@@ -138,3 +144,65 @@ def test_vectors(spark):
     got = sorted({(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in found})
     assert got == [(1, 1, 2, 0.0), (1, 1, 2, 1.414214), (2, 1, 1, 0.0), (2, 2, 1, 1.414214)]
     assert nearest(table.where("false"), F.col("vec_id") < 10).count() == 0
+
+
+# ------------------------------------------------------- texts made to hurt
+
+MANY = 200_000
+#: Each of these ended the JVM, or grew with the square of its length, under a plain form of some rule.
+HOSTILE = {
+    "labels": ("x@y" + ".ab" * MANY, 0, {"email": 1}),
+    "words": ("-----BEGIN " + "AB " * MANY + "PRIVATE KEY-----", 1, {}),
+    "letters": ("x" * MANY + " a@b.de", 0, {"email": 1}),
+    "local": ("x" * MANY + "@b.de", 0, {"email": 1}),
+    "digits": ("7" * MANY, 1, {}),
+    "addresses": ("1.2.3.4 " * MANY, 0, {"ip": MANY}),
+    "mails": ("ab@c.de " * MANY, 0, {"email": MANY}),
+    "tokens": ("eyJ" * MANY + ".eyJaaaaaaaaaa", 0, {}),
+    "signs": ("a@" * MANY, 0, {}),
+    "dots": ("1." * MANY, 0, {"ip": MANY // 4}),
+    "plus": ("+1" * MANY, 0, {}),
+    "keys": (("0123456789abcdef" * 2 + " ") * MANY, MANY, {}),
+    "assigns": ("password " * MANY, 0, {}),
+    "blanks": ("secret" + " " * MANY, 0, {}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_texts_take_linear_time(spark, name):
+    text, secrets, personal = HOSTILE[name]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert len(find_secrets(docs).first()["spans"]) == secrets
+    middle = time.time()
+    spans = find_personal_data(docs).first()["spans"]
+    assert {k: n for k in ("email", "ip", "card", "phone") if (n := sum(s["kind"] == k for s in spans))} == personal
+    assert middle - began < 60 and time.time() - middle < 60
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+}
+
+
+def test_safe_forms_find_what_the_plain_rules_find(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["a", "@", ".", "-", "_", "b.c", "1", "12", "255.", "7.3.", "256.1.", "é", " ", "%", "x@y.z"], k=rng.randint(1, 14))) for _ in range(4000)]
+    heads = ["-----BEGIN " + "".join(rng.choices(["RSA ", "A1 ", " ", "a ", "KEY ", "PRIVATE ", "-"], k=rng.randint(0, 4))) + "PRIVATE KEY-----" for _ in range(500)]
+    parts = ["eyJ", "abcdefgh", "eyJabcdefgh", ".", ".eyJabcdefgh", "x", " ", "."]
+    tokens = ["".join(rng.choices(parts, k=rng.randint(2, 9))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts + heads + tokens)), "doc_id long, text string")
+    rules = {r.kind: r.pattern for r in op01_secrets.ISSUED if r.safe}
+    assert set(rules) == {"pem", "bearer"}
+    both = find_secrets(find_personal_data(docs.withColumn("own", F.col("text"))).withColumnsRenamed({"own": "text", "spans": "personal"}))
+    every = texts + heads + tokens
+    hits = collections.Counter()
+    for r in both.select("doc_id", "personal", "spans").collect():
+        text = every[r["doc_id"]]
+        for kind, rule in {**PLAIN, **rules}.items():
+            told = [m.span() for m in re.finditer(rule, text) if kind != "ip" or all(int(x) < 256 for x in m.group().split("."))]
+            found = [(s["start"], s["end"]) for s in r["personal" if kind in PLAIN else "spans"] if s["kind"] == kind]
+            assert found == told, (kind, text)
+            hits[kind] += len(told)
+    assert min(hits[k] for k in (*PLAIN, *rules)) > 20, hits

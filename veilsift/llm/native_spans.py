@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilsift.functions.spans import find_spans
+from veilsift.functions.spans import find_spans, record
 
 #: What an operator reports of a match: offsets are code points, the end is exclusive.
 FOUND = "struct<start:int,rank:int,kind:string,end:int,value:string>"
@@ -18,10 +18,24 @@ def no_found() -> Column:
 
 
 def kind_spans(
-    text: Column, kind: str, rank: int, pattern: str, gate: Column, test: Callable[[Column], Column] | None = None
+    text: Column,
+    kind: str,
+    rank: int,
+    pattern: str,
+    gate: Column,
+    test: Callable[[Column], Column] | None = None,
+    opening: str | None = None,
 ) -> Column:
-    """Leftmost non-overlapping matches of a Java regex whose value passes ``test``, where ``gate`` holds."""
+    """Leftmost non-overlapping matches of a Java regex whose value passes ``test``, where ``gate`` holds.
+
+    A match may have a lead that is no part of the span: that begins at the first ``opening``.
+    """
     spans = find_spans(text, pattern, kind)
+    if opening is not None:
+        lead = lambda s: F.instr(s["value"], opening) - 1
+        spans = F.transform(
+            spans, lambda s: record(start=s["start"] + lead(s), end=s["end"], value=F.substr(s["value"], lead(s) + 1))
+        )
     if test is not None:
         spans = F.filter(spans, lambda s: test(s["value"]))
     named = F.transform(

@@ -21,17 +21,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsift.functions.spans import _MARK, let, record, unmarked
+from veilsift.functions.spans import _MARK, let, record, starts_of, unmarked
 
 from .common import written
 from .native_spans import FOUND, count_of, joined, kind_spans
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: The patterns of the four kinds.  A card starts where no longer run of digits
-#: with single separators goes on.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+#: The patterns of the four kinds, for the JVM: each run of characters is tried once, at its start or
+#: where the last match ended, and nothing is given back, so texts of any kind take linear time and no
+#: stack.  A card starts where no longer run of digits with single separators goes on.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -114,24 +115,6 @@ def _contexts(before: Column, after: Column, first: Column, last: Column) -> Col
     return F.array_distinct(F.filter(F.array(*told), lambda p: p.rlike(r"\p{L}") | (p == "^ _ $")))
 
 
-def _starts(lengths: Column, block: int = 128) -> Column:
-    """Sums of all lengths before each, by blocks, as a fold copies its array at each step."""
-
-    def fold(values: Column, at: Column) -> Column:
-        none = record(at=at, out=F.expr("cast(array() as array<int>)"))
-        step = lambda acc, x: record(at=acc["at"] + x, out=F.concat(acc["out"], F.array(acc["at"])))
-        return F.aggregate(values, none, step)["out"]
-
-    last = F.floor((F.size(lengths) - 1) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(lengths, j * block + 1, F.lit(block)))
-
-    def whole(own: Column) -> Column:
-        sums = F.transform(own, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
-        return let(fold(sums, F.lit(0)), lambda bases: F.flatten(F.transform(own, lambda x, j: fold(x, F.get(bases, j)))))
-
-    return let(blocks, whole)
-
-
 def occurrences(text: Column) -> Column:
     """Identifier-like tokens with their contexts: ``patterns, token, start, end``.
 
@@ -153,7 +136,7 @@ def occurrences(text: Column) -> Column:
 
     def every(p: Column) -> Column:
         gaps = F.filter(p, lambda _, i: i % 2 == 0)
-        both = record(parts=p, gaps=F.transform(gaps, _gap), starts=_starts(F.transform(p, F.length)))
+        both = record(parts=p, gaps=F.transform(gaps, _gap), starts=starts_of(F.transform(p, F.length)))
         return let(both, lambda b: F.transform(F.slice(F.sequence(F.lit(0), count(b)), F.lit(1), count(b)), lambda i: one(i, b)))
 
     return let(parts, every)
@@ -213,6 +196,39 @@ def _trusted(how: Bootstrap) -> Column:
     return (F.col("confidence") >= how.confidence) & (F.col("support") >= how.seeds)
 
 
+#: Texts of more spans than this look for the span of a token by place, not one by one.
+_FEW = 64
+
+
+def _with_seeds(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """``id, tid, patterns, token, start, end, seed``: a row for each token and base span that touch, or for a
+    token alone (seed null).  A token of several groups may touch several seeds.
+
+    Where a text has many spans, tokens and spans meet in blocks of offsets.
+    """
+    seen = rows.select("id", "tid", "base", F.posexplode("seen").alias("n", "o")).select("id", "tid", "base", "n", "o.*")
+    token = ("id", "tid", "patterns", "token", "start", "end")
+    over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    few = seen.where(F.size("base") <= _FEW).select(*token, F.explode_outer(over).alias("seed"))
+
+    def blocks(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / block), F.floor((end - 1) / block)))
+
+    crowded = rows.where(F.size("base") > _FEW)
+    spans = crowded.select("id", "tid", F.explode("base").alias("seed")).distinct()
+    spans = spans.select(F.col("id").alias("i"), F.col("tid").alias("t"), "seed", blocks(F.col("seed.start"), F.col("seed.end")).alias("b"))
+    many = seen.where(F.size("base") > _FEW)
+    at = many.select("id", "tid", "n", "start", "end").distinct()
+    at = at.select("*", blocks(F.col("start"), F.col("end")).alias("block"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("tid") == F.col("t")) & (F.col("block") == F.col("b"))
+    touch = same & (F.col("seed.start") < F.col("end")) & (F.col("start") < F.col("seed.end"))
+    # a pair that shares several blocks counts in the first
+    first = F.col("b") == F.floor(F.greatest("start", "seed.start") / block)
+    met = at.join(spans, touch & first).select("i", "t", F.col("n").alias("m"), "seed")
+    own = F.col("id").eqNullSafe(F.col("i")) & (F.col("tid") == F.col("t")) & (F.col("n") == F.col("m"))
+    return few.unionByName(many.join(met, own, "left").select(*token, "seed"))
+
+
 def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` without ``text``, with ``spans``: base spans and those that patterns discover, sorted."""
     names = [c for c in docs.columns if c not in ("spans", "text")]
@@ -225,10 +241,7 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
     )
     rows = written(rows, "pii-rows")
 
-    seen = rows.select("id", "tid", "base", F.explode("seen").alias("o")).select("id", "tid", "base", "o.*")
-    over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    # a token of several groups may touch several seeds
-    seen = seen.select("id", "tid", "patterns", "token", "start", "end", F.explode_outer(over).alias("seed"))
+    seen = _with_seeds(rows)
     # a seed counts as the whole value that its rule found, of which the token may be the first part
     instance = F.lower(F.coalesce("seed.value", "token")).alias("token")
     seen = seen.withColumn("kind", F.col("seed.kind"))
