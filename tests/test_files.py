@@ -3,6 +3,7 @@
 import fnmatch
 import itertools
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from veilsift.functions.globs import name_matches, path_matches
 from veilsift.operators.registry import all_detectors, build_detectors
 from veilsift.plans import report
 from veilsift.plans.scan_job import FileSource, ObjectSource, run_scan
-from veilsift.sources import files
+from veilsift.sources import csv_cells, files, ranges, walk
 
 NUMBER = luhn_number("45", 16, 4)
 CARD = " ".join(NUMBER[i : i + 4] for i in range(0, 16, 4))
@@ -46,7 +47,7 @@ TREE = {
     # a name that must not be shown
     "of_mia.q@box.de.txt": (CARD, [("credit_card", 1, 1, None)]),
 }
-#: A walk sees hidden names, a listing of objects does not.
+#: Hidden names are names like others, in trees and stores.
 HIDDEN = {"_dark/.own.txt": (MAIL, [("email", 1, 1, None)])}
 SKIPPED = {"bytes/nul.txt": b"\x00" + CARD.encode(), "bytes/huge.txt": CARD + "\n" + "-" * 1_500_000, "old.bak.json": CARD}
 #: Below allowlisted folders, or of a type that is not scanned.
@@ -104,10 +105,10 @@ def test_objects(spark, lake):
     for path, (content, _) in odd.items():
         put(lake, path, content)
     result = run_scan(spark, [ObjectSource("store", str(lake), "", RULES)], all_detectors())
-    assert shown(result, "s3://store") == wanted(TREE, odd)
+    assert shown(result, "s3://store") == wanted(TREE, HIDDEN, odd)
     stats = result.stats().first()
     # a store has no folders to prune: what lies below an allowlisted one counts as skipped; empty objects do not
-    assert (stats["objects_scanned"], stats["skipped"], stats["errors"]) == (len(TREE) + len(odd) - 1, len(SKIPPED) + 2, 0)
+    assert (stats["objects_scanned"], stats["skipped"], stats["errors"]) == (len(TREE) + len(odd), len(SKIPPED) + 2, 0)
     some = run_scan(spark, [ObjectSource("store", str(lake), "plain/", RULES)], all_detectors(), dry_run=True)
     assert [r["name"] for r in some.targets.collect()] == ["s3://store/plain/four.txt"]
 
@@ -125,8 +126,12 @@ def test_only_wanted_objects_are_opened(spark, lake):
 def test_siblings_of_a_prefix_are_not_listed(spark, lake):
     listed = files.open_store(spark, str(lake), "plain/fo").select("path").collect()
     assert sorted(os.path.basename(r["path"]) for r in listed) == ["four.txt"]  # empty objects are no rows
+    put(lake, "plain/fog/_deep/.x.txt", MAIL)
     assert files.list_objects(spark, str(lake), "nowhere/x").count() == 0
-    assert [r["relative"] for r in files.list_objects(spark, str(lake), "plain/fo").collect()] == ["plain/four.txt"]
+    keys = sorted(r["relative"] for r in files.list_objects(spark, str(lake), "plain/fo").collect())
+    assert keys == ["plain/fog/_deep/.x.txt", "plain/four.txt"]
+    with pytest.raises(FileNotFoundError):
+        files.list_objects(spark, f"{lake}/gone", "a/b")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.open_store(spark, f"{lake}/gone", "a/b")
 
@@ -206,3 +211,121 @@ def test_nothing_raw_leaves_a_scan(spark, tmp_path):
         assert raw not in written
     with pytest.raises(ValueError, match="refusing to write"):
         report.write_csv(result.findings.withColumn("value", F.lit("x")), str(tmp_path / "no"))
+
+
+# -------------------------------------------------------- ranges, walks, streams
+
+
+def encoded(text, name):
+    mark = {"utf-8-sig": b"", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}.get(name, b"")
+    return mark + text.encode(name)
+
+
+@pytest.mark.parametrize("name", ["utf-8", "utf-8-sig", "utf-16-le", "utf-16-be"])
+def test_ranges_own_each_line_once(tmp_path, name):
+    rng = random.Random(name)
+    for trial in range(60):
+        lines = ["".join(rng.choices("aé\u0a0a\u010a中\U0001f600\r ", k=rng.choice([0, 1, 3, 40]))) for _ in range(rng.randint(0, 12))]
+        text = "\n".join(lines) + rng.choice(["", "\n"])
+        put(tmp_path, "f.txt", encoded(text, name))
+        path, width = str(tmp_path / "f.txt"), rng.choice([2, 4, 8, 30, 1000])
+        size = os.path.getsize(path)
+        count = max(1, -(-size // width))
+        got = [ranges.read_range(path, n, n == count - 1, width) for n in range(count)]
+        assert b"".join(c for s, c in got if c).decode() == text, (trial, width)
+        assert all(c.endswith(b"\n") for c in [c for _, c in got if c][:-1])  # whole lines each
+
+
+def test_a_file_in_ranges_gives_the_findings_of_the_whole(spark, tmp_path):
+    rng = random.Random(8)
+    body = ["".join(rng.choices("abc é", k=rng.randint(0, 90))) for _ in range(4000)]
+    for i in range(0, 4000, 37):
+        body[i] = f"{i} {MAIL}"
+    body[1234] = "x" * 9000 + f" {CARD}"  # longer than several ranges
+    for i, name in enumerate(["utf-8", "utf-8-sig", "utf-16-le", "utf-16-be"]):
+        put(tmp_path, f"{i}.log", encoded("\n".join(body), name))
+    put(tmp_path, "nul.txt", b"\0" + ("\n" + MAIL).encode() * 3000)
+    found = {}
+    for width in (1 << 12, 1 << 25):
+        rules = files.FileRules(range_bytes=width)
+        result = run_scan(spark, [FileSource([str(tmp_path)], rules)], build_detectors(only=["email", "credit_card"]))
+        stats = result.stats().first()
+        assert (stats["files_scanned"], stats["lines_scanned"], stats["skipped"]) == (4, 16000, 1)
+        assert stats["bytes_scanned"] == sum(os.path.getsize(tmp_path / f"{i}.log") for i in range(4))
+        found[width] = sorted(map(str, result.findings.collect()))
+    assert found[1 << 12] == found[1 << 25] and len(found[1 << 25]) == 4 * (len(range(0, 4000, 37)) + 1)
+
+
+def test_pruned_folders_are_never_opened(spark, tmp_path):
+    put(tmp_path, "a/b/c/d.txt", MAIL)
+    put(tmp_path, "shut/x/y.txt", MAIL)
+    put(tmp_path, "a/shut/z.txt", MAIL)
+    seen = []
+
+    def opened(folders):
+        seen.append(sorted(r["relative"] for r in folders.collect()))
+        return folders.where("relative not like '%shut'")
+
+    listed = walk.walk(spark, [(str(tmp_path), "")], False, opened)
+    assert [r["relative"] for r in listed.collect()] == ["a/b/c/d.txt"]
+    assert seen == [["a", "shut"], ["a/b", "a/shut"], ["a/b/c"], []]  # nothing below a shut folder was listed
+    os.symlink(tmp_path / "shut", tmp_path / "shut/x/loop")
+    os.symlink(tmp_path, tmp_path / "a/up")
+    followed = run_scan(spark, [FileSource([str(tmp_path)], files.FileRules(follow_links=True))], build_detectors(only=["email"]))
+    assert followed.findings.count() == 3  # links to a folder above are not followed
+    plan = files.list_tree(spark, [str(tmp_path)], False, ["shut"])
+    assert sorted(r["relative"] for r in plan.collect()) == ["a/b/c/d.txt"]
+
+
+def test_a_large_folder_comes_in_parts(spark, tmp_path):
+    for i in range(250):
+        put(tmp_path, f"f{i}.txt", "x")
+    assert walk.walk(spark, [(str(tmp_path), "")], chunk=7).count() == 250
+
+
+def csv_text(rows, bad_at=None):
+    lines = [f"{i},{MAIL},note {i}\n" for i in range(rows)]
+    if bad_at is not None:
+        lines[bad_at] = f"{bad_at},x\ry\n"
+    return "id,mail,text\n" + "".join(lines)
+
+
+def test_a_rejected_table_rolls_back_within_and_beyond_the_spool():
+    for bad_at in (None, 5, 9000):
+        text = csv_text(10_000, bad_at)
+        for spool in (10, 1 << 20, 1 << 30):
+            rows = list(csv_cells.file_rows("p", 1, lambda: csv_cells.physical_lines(text), spool))
+            stats = [r[4] for r in rows if r[4]]
+            assert len(stats) == 1 and stats[0]["lines"] == 10_001 and rows[-1][4]
+            tabular = [c for r in rows if r[1] for c in r[3]]
+            plain = [c for r in rows if not r[1] for c in r[3]]
+            if bad_at is None:
+                assert len(tabular) == 30_003 and not plain and not stats[0]["rolled_back"]
+            else:
+                assert len(plain) == 10_001 and stats[0]["rolled_back"] == bool(tabular)
+                assert not tabular or spool == 10 and bad_at == 9000
+
+
+def test_findings_of_a_table_given_up_late_are_those_of_its_lines(spark, tmp_path, monkeypatch):
+    filler = "y" * 3000
+    good = "".join(f"{i},{MAIL},{filler}\n" for i in range(12_000))
+    put(tmp_path, "late.csv", "id,mail,text\n" + good + f"1,x\r{MAIL}\n")
+    assert os.path.getsize(tmp_path / "late.csv") > csv_cells.SPOOL
+    result = run_scan(spark, [FileSource([str(tmp_path)])], build_detectors(only=["email"]))
+    rows = result.findings.select("line", "column_name").distinct().collect()
+    assert len(rows) == result.findings.count() == 12_001 and {r["column_name"] for r in rows} == {None}
+    stats = result.stats().first()
+    assert (stats["files_scanned"], stats["lines_scanned"], stats["errors"]) == (1, 12_002, 0)
+
+
+def test_records_are_read_once(monkeypatch):
+    opened = []
+
+    def lines():
+        opened.append(1)
+        return csv_cells.physical_lines(csv_text(50))
+
+    sniffed = []
+    monkeypatch.setattr(csv_cells, "guess_delimiter", lambda first: sniffed.append(1) or ",")
+    assert sum(len(r[3]) for r in csv_cells.file_rows("p", 1, lines)) == 153
+    assert len(opened) == len(sniffed) == 1

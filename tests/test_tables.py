@@ -1,11 +1,16 @@
 """Tables: cells, keys, row numbers, allowlists, isolation of broken tables."""
 
+import random
+import threading
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import luhn_number
 from veilsift.functions.texts import shown_row_id
-from veilsift.operators.registry import all_detectors
+from veilsift.operators.registry import all_detectors, build_detectors
+from veilsift.plans import ordinals
 from veilsift.plans.scan_job import TableSource, run_scan
 from veilsift.sources import synth, tables
 
@@ -81,19 +86,35 @@ def test_broken_tables_do_not_stop_others(spark, db):
     }
 
 
-def test_row_numbers(spark, tmp_path, monkeypatch):
-    import random
+def plan_of(frame):
+    mode = frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return frame._jdf.queryExecution().explainString(mode)
+
 
+def test_row_numbers_follow_the_key(spark):
     rng = random.Random(4)
     keys = rng.sample(range(10**6), 5000)
     frame = spark.createDataFrame([(k, f"s{k:07d}") for k in keys], "k int, s string").repartition(5)
     rank = {k: i for i, k in enumerate(sorted(keys), 1)}
-    plain = tables._range_bounds
-    for bounds in (plain, lambda df, c: sorted(rng.sample(keys, 40)), lambda df, c: sorted(f"s{k:07d}" for k in keys[:30])):
-        key = "s" if bounds is not plain and isinstance(bounds(frame, None)[0], str) else "k"
-        monkeypatch.setattr(tables, "_range_bounds", bounds if bounds is plain else (lambda fixed: lambda df, c: fixed)(bounds(frame, None)))
-        got = {r["k"]: r["row"] for r in tables.with_row_number(frame, key).collect()}
-        assert got == rank
+    for key in ("k", "s"):
+        assert {r["k"]: r["row"] for r in tables.with_row_number(frame, key).collect()} == rank
+    holes = frame.withColumn("k", F.when(F.col("k") % 3 > 0, F.col("k")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = tables.with_row_number(holes, "k")
+        rows = sorted(((r["row"], r["k"]) for r in numbered.collect()), key=lambda r: r[0])
+        nulls = sum(k % 3 == 0 for k in keys)
+        assert [n for n, _ in rows] == list(range(1, 5001))
+        assert [k for _, k in rows] == [None] * nulls + sorted(k for k in keys if k % 3)
+        # a third of all rows has no key: ranges cut them, and no task sees all rows
+        parts = ordinals.ranged(holes.withColumn("h", F.xxhash64("k", "s")), F.col("k").asc_nulls_first(), F.col("h").asc())
+        assert parts.where("k is null").select("part").distinct().count() > 1
+        assert "SinglePartition" not in plan_of(numbered)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scan_numbers(spark, tmp_path):
     ordered = spark.range(0, 20000, 1, 7).write.option("maxRecordsPerFile", 900)
     ordered.parquet(str(tmp_path / "many"))
     scan_order = tables.with_scan_number(spark.read.parquet(str(tmp_path / "many")))
@@ -103,6 +124,83 @@ def test_row_numbers(spark, tmp_path, monkeypatch):
     assert scan_order.exceptAll(again).count() == 0
 
 
+def test_offsets_are_sums_over_dyadic_blocks(spark):
+    rng = random.Random(2)
+    counts = {p: rng.randrange(100) for p in rng.sample(range(3000), 400)}
+    got = ordinals.offsets(spark.createDataFrame(list(counts.items()), "part int, n long"))
+    assert {r["part"]: r["before"] for r in got.collect()} == {p: sum(n for q, n in counts.items() if q < p) for p in counts}
+
+
+def test_numbers_of_findings_in_key_order(spark, tmp_path):
+    rows = [(i * 7 % 101, f"m{i}@example.com", "x") for i in range(101)] + [(None, "n@example.com", "x")] * 3
+    spark.createDataFrame(rows, "k int, mail string, note string").repartition(4).write.parquet(str(tmp_path / "t"))
+    spec = tables.TableSpec("t", order_by="k", id_column="k")
+    result = run_scan(spark, [TableSource([spec], lambda s, t: s.read.parquet(str(tmp_path / t.name)))], all_detectors())
+    got = sorted((r["row"], r["row_id"]) for r in result.findings.collect())
+    # alike rows without a key come first and have a number each
+    assert got == [(1, None), (2, None), (3, None), *((k + 4, str(k)) for k in range(101))]
+    assert result.stats().first()["rows_scanned"] == 104
+
+
+def test_tables_run_side_by_side_with_their_own_keys(spark, db):
+    together = threading.Barrier(3, timeout=60)
+
+    def load(session, spec):
+        together.wait()  # passes only if three tables are loaded at the same time
+        return db(session, spec)
+
+    specs = [
+        tables.TableSpec("users", columns=["email"]),
+        tables.TableSpec("users", schema="b", columns=["email"], id_column="age"),
+        tables.TableSpec("notes"),
+    ]
+    source = TableSource(specs, load, key_of=lambda s, t: {"users": "id"}.get(t.name), at_once=3)
+    found = run_scan(spark, [source], build_detectors(only=["email"])).findings.collect()
+    assert sorted((r["source"], r["row_id"]) for r in found if "users" in r["source"]) == [
+        ("b.users.email", "19"), ("b.users.email", "25"), ("b.users.email", "31"),
+        ("public.users.email", "1"), ("public.users.email", "3"), ("public.users.email", "4"),
+    ]
+
+
+# --------------------------------------------------------------------- databases
+
+
+def test_reads_of_a_database_cut_its_key():
+    """Conditions run on a real engine: every row meets exactly one of them."""
+    con = duckdb.connect()
+    con.execute(
+        'create table "o""x" as select case when i % 9 = 0 then null else i * i % 977 end as k, '
+        "'k''' || i as s from range(1000) t(i)"
+    )
+    spec = tables.TableSpec('o"x', schema="main")
+    for key in ("k", "s"):
+        bounds = [r[0] for r in con.execute(tables.quantile_query(spec, key, 7)).fetchall()]
+        assert len(bounds) == 7 and bounds == sorted(bounds)
+        conditions = tables.range_predicates(key, bounds)
+        sizes = [con.execute(f'select count(*) from "o""x" where {c}').fetchone()[0] for c in conditions]
+        assert sum(sizes) == 1000 and min(sizes) > 50
+        once = " + ".join(f"case when {c} then 1 else 0 end" for c in conditions)
+        assert con.execute(f'select count(*) from "o""x" where {once} <> 1').fetchone()[0] == 0
+    assert tables.range_predicates("k", []) == tables.range_predicates("k", [5]) == []
+    with pytest.raises(ValueError):
+        tables.range_predicates("k", [True, False])
+
+
+def test_a_database_asks_for_its_key_first(monkeypatch):
+    asked = []
+
+    def answer(self, spark, sql):
+        asked.append(sql)
+        return [("id",)] if "PRIMARY KEY" in sql else [(1,), (10,), (20,)]
+
+    monkeypatch.setattr(tables.Database, "_query", answer)
+    base = tables.Database("jdbc:none")
+    assert base.predicates(None, tables.TableSpec("t")) == ['"id" is null or "id" < 10', '"id" >= 10 and "id" < 20', '"id" >= 20']
+    assert len(asked) == 2
+    monkeypatch.setattr(tables.Database, "_query", lambda *a: [("a",), ("b",)])
+    assert base.predicates(None, tables.TableSpec("t")) == []  # a key of two columns cuts nothing
+
+
 def test_row_ids(spark):
     uuid = "550e8400-e29b-41d4-a716-446655440000"
     frame = spark.createDataFrame([(7, uuid, True, 1.5), (8, uuid + "\n", False, 2.5), (9, "a@b.com", True, 1.0)], "i int, s string, b boolean, d double")

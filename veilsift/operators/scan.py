@@ -108,8 +108,9 @@ def scan_rows(
     detectors: Sequence[Detector],
     overrides: Mapping[str, str] | None = None,
     carry: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Findings of ``units``, one narrow pass and no shuffle.
+    """Findings of ``units``, one narrow pass and no shuffle; columns in ``keep`` stay on every row.
 
     ``carry`` names a struct column (per-file counters) that is null on most units:
     where it is set it comes out exactly once, on a finding of that unit or on a row
@@ -121,7 +122,7 @@ def scan_rows(
     worth = _kept("hint", "text", detectors)
     if carry:
         worth = F.coalesce(worth, F.lit(False)) | F.col(carry).isNotNull()
-    passed = [c for c in UNIT_COLUMNS if c != "text"] + ([carry] if carry else [])
+    passed = [c for c in UNIT_COLUMNS if c != "text"] + list(keep) + ([carry] if carry else [])
     cut = _piece_rows(units.where(worth), detectors, passed)
     # one step per column: what is a lambda stays small, the rest is compiled
     found = _kept("candidates", "piece.text", detectors).alias("found")
@@ -146,7 +147,7 @@ def scan_rows(
         "offset": m["start"] + 1,
         "masked_value": mask_of(m, detectors),
     }
-    columns = [finding[c].alias(c) if c in finding else F.col(c) for c in FINDING_COLUMNS]
+    columns = [finding[c].alias(c) if c in finding else F.col(c) for c in (*FINDING_COLUMNS, *keep)]
     if carry:
         columns.append(F.when(first, F.col(carry)).alias(carry))
     return rows.where(wanted).select(*columns)

@@ -16,15 +16,32 @@ _PLACES = 33  # bits of the place in monotonically_increasing_id
 _LEVELS = 31
 
 
-def ranged(df: DataFrame, *order: Column | str, bounds: tuple[Column | str, ...] = (), name: str = "ranged") -> DataFrame:
+def part_of(at: Column | str) -> Column:
+    """The partition in a ``monotonically_increasing_id``."""
+    return F.shiftright(at, _PLACES).cast("int")
+
+
+def place_of(at: Column) -> Column:
+    """The place within it, from 0."""
+    return at.bitwiseAND(F.lit((1 << _PLACES) - 1))
+
+
+def ranged(
+    df: DataFrame,
+    *order: Column | str,
+    bounds: tuple[Column | str, ...] = (),
+    keep: tuple[str, ...] | None = None,
+    name: str = "ranged",
+) -> DataFrame:
     """``df`` as a written table with ``part`` and ``place``: (part, place) follows ``order``.
 
     ``bounds`` (``order`` if not given) must rise with the order; rows equal in them share a part.
+    Of the columns only ``keep`` (all, if not given) are written.
     """
+    kept = list(df.columns if keep is None else keep)
     rows = df.repartitionByRange(*(bounds or order)).sortWithinPartitions(*order)
-    rows = written(rows.select("*", F.monotonically_increasing_id().alias("place")), name)
-    part = F.shiftright("place", _PLACES).cast("int").alias("part")
-    return rows.select(*df.columns, part, F.col("place").bitwiseAND(F.lit((1 << _PLACES) - 1)).alias("place"))
+    rows = written(rows.select(*kept, F.monotonically_increasing_id().alias("place")), name)
+    return rows.select(*kept, part_of("place").alias("part"), place_of(F.col("place")).alias("place"))
 
 
 def offsets(counts: DataFrame) -> DataFrame:
@@ -43,11 +60,22 @@ def offsets(counts: DataFrame) -> DataFrame:
     return before.select(F.col("part").cast("int").alias("part"), F.coalesce("before", F.lit(0).cast("long")).alias("before"))
 
 
-def numbered(df: DataFrame, *order: Column | str, number: str = "number", most_broadcast: int = 1_000_000) -> DataFrame:
-    """``df`` with its row number from 1 in ``order``.  Offsets are broadcast while at most ``most_broadcast``."""
-    rows = ranged(df, *order)
+def numbered(
+    df: DataFrame,
+    *order: Column | str,
+    number: str = "number",
+    keep: tuple[str, ...] | None = None,
+    most_broadcast: int = 1_000_000,
+) -> DataFrame:
+    """``df``, or its columns ``keep``, with the row number from 1 in ``order``."""
+    rows = ranged(df, *order, keep=keep)
     counts = rows.groupBy("part").agg((F.max("place") + 1).alias("n"))
+    names = [c for c in rows.columns if c not in ("part", "place")]
+    return with_offsets(rows, counts, most_broadcast).select(*names, (F.col("before") + F.col("place") + 1).alias(number))
+
+
+def with_offsets(rows: DataFrame, counts: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """``rows (part, ...)`` with ``before``, the rows of all smaller parts; offsets are a row a part and
+    are broadcast while at most ``most_broadcast``."""
     start = written(offsets(counts), "offsets")
-    start = F.broadcast(start) if start.count() <= most_broadcast else start
-    joined = rows.join(start, "part")
-    return joined.select(*df.columns, (F.col("before") + F.col("place") + 1).alias(number))
+    return rows.join(F.broadcast(start) if start.count() <= most_broadcast else start, "part")

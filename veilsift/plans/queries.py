@@ -277,7 +277,8 @@ def summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _table_cells(spec: tables.TableSpec, *allowed: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = tables.cells_of(table(spark, sf_dir, spec.name), spec, allowed)
+        frame = table(spark, sf_dir, spec.name)
+        cells, _ = tables.with_numbers(tables.cells_of(frame, spec, allowed), frame, spec, allowed)
         return cells.select("source", "column_name", "row", "row_id", "text")
 
     return query

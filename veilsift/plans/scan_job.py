@@ -8,11 +8,13 @@ the checkpoint, so a source is read once whatever is asked of it.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.detector import Detector
@@ -51,13 +53,17 @@ class ObjectSource:
 
 @dataclass(frozen=True)
 class TableSource:
-    """Tables; ``load`` maps a spec to a DataFrame (catalogue, parquet, JDBC, ...)."""
+    """Tables; ``load`` maps a spec to a DataFrame (catalogue, parquet, JDBC, ...), ``key_of``
+    to the column that locates its rows where the spec names none.  ``at_once`` tables run
+    side by side."""
 
     specs: Sequence[tables.TableSpec]
     load: Callable[[SparkSession, tables.TableSpec], DataFrame]
     allow_tables: Sequence[str] = ()
     allow_columns: Sequence[str] = ()
     source_type: str = "postgres"
+    key_of: Callable[[SparkSession, tables.TableSpec], str | None] | None = None
+    at_once: int = 8
 
 
 @dataclass
@@ -132,7 +138,7 @@ def _stats(status: Column, unit: str, lines: Column, rows: Column, size: Column,
     scanned = status == "scanned"
     values = {
         f"{unit}_scanned": F.when(scanned, 1).otherwise(0),
-        "lines_scanned": F.when(scanned, lines).otherwise(0),
+        "lines_scanned": F.when(scanned | (status == "range"), lines).otherwise(0),
         "rows_scanned": F.when(scanned, rows).otherwise(0),
         "bytes_scanned": F.when(scanned, size).otherwise(0),
         "skipped": F.when(status == "skipped", 1).otherwise(0),
@@ -155,34 +161,54 @@ def _judged_stats(judged: DataFrame, unit: str, name: Column) -> DataFrame:
 def _scan_contents(
     lines: DataFrame, cells: DataFrame, name: Column, kind: str, detectors: Sequence[Detector], overrides
 ) -> DataFrame:
-    units = files.line_units(lines, name, kind)
-    csv_units = files.csv_units(cells, name, kind, detectors)
-    return cut_lineage(
-        _union([scan_rows(u, detectors, overrides, carry="stat") for u in (units, csv_units)])
-    )
+    units = [files.line_units(lines, name, kind), files.cell_units(cells, name, kind, detectors)]
+    return cut_lineage(_union([scan_rows(u, detectors, overrides, carry="stat", keep=["origin"]) for u in units]))
+
+
+def _in_files(rows: DataFrame) -> DataFrame:
+    """Findings with lines of their file: those of later ranges move on by the lines before, those in cells of
+    files that the CSV reader gave up late are dropped (their lines were scanned too)."""
+    findings = rows.where("data_type is not null").select(*FINDING_COLUMNS, "origin")
+    path, number = F.col("origin.path"), F.col("origin.range")
+    stats = rows.where("stat is not null").select("stat.*")
+    cases = stats.agg(F.max("range"), F.max(F.col("rolled_back").cast("int"))).first()
+    if cases[0]:
+        # a row for each range; a file has as many as its size over the width of a range
+        before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = stats.select("path", "range", F.sum("lines").over(before).alias("shift")).where("range > 0")
+        shifts = shifts.withColumnsRenamed({"path": "p", "range": "r"})
+        later = findings.where(number > 0).join(shifts, (path == F.col("p")) & (number == F.col("r")), "left")
+        later = later.withColumn("line", (F.col("line") + F.coalesce("shift", F.lit(0))).cast("int"))
+        findings = findings.where(number == 0).unionByName(later.select(*findings.columns))
+    if cases[1]:
+        given_up = stats.where("rolled_back").select(F.col("path").alias("p"))
+        findings = findings.join(given_up, F.col("origin.is_csv") & (path == F.col("p")), "left_anti")
+    return findings.select(*FINDING_COLUMNS)
 
 
 def _split_rows(rows: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
-    findings = rows.where("data_type is not null").select(*FINDING_COLUMNS)
     s = F.col("stat")
     error = F.concat_ws(": ", s["source"], s["error"])
-    stats = rows.where("stat is not null").select(
-        *_stats(s["status"], unit, s["lines"], F.lit(0), s["bytes"], error)
-    )
-    return findings, stats
+    # later ranges of a file add lines, the first one stands for the file
+    whole = F.when((s["range"] > 0) & (s["status"] != "error"), F.lit("range")).otherwise(s["status"])
+    stats = rows.where("stat is not null").select(*_stats(whole, unit, s["lines"], F.lit(0), s["bytes"], error))
+    return _in_files(rows), stats
+
+
+def _is_csv() -> Column:
+    return files.extension_of(F.col("relative")) == ".csv"
 
 
 def _scan_files(spark, source: FileSource, detectors, overrides) -> tuple[DataFrame, DataFrame]:
     judged = cut_lineage(_judged_files(spark, source))
-    is_csv = files.extension_of(F.col("relative")) == ".csv"
-    contents = [files.read_tree(judged.where(c)) for c in (~is_csv, is_csv)]
-    rows = _scan_contents(*contents, F.col("path"), source.source_type, detectors, overrides)
+    lines, cells = files.read_tree(judged.where(~_is_csv()), source.rules.range_bytes), files.csv_cells_of(judged.where(_is_csv()))
+    rows = _scan_contents(lines, cells, F.col("path"), source.source_type, detectors, overrides)
     findings, stats = _split_rows(rows, "files")
     return findings, stats.unionByName(_judged_stats(judged, "files", F.col("path")))
 
 
 def _judged_files(spark, source: FileSource) -> DataFrame:
-    listing = files.list_tree(spark, source.paths, source.rules.follow_links)
+    listing = files.list_tree(spark, source.paths, source.rules.follow_links, source.rules.allow)
     return files.verdicts(listing, source.rules)
 
 
@@ -196,11 +222,14 @@ def _judged_objects(spark, source: ObjectSource) -> DataFrame:
 def _scan_objects(spark, source: ObjectSource, detectors, overrides) -> tuple[DataFrame, DataFrame]:
     judged = cut_lineage(_judged_objects(spark, source))
     rules = source.rules
-    others = [s for s in rules.suffixes if s != ".csv"]
-    csv = [s for s in rules.suffixes if s == ".csv"]
-    contents = [files.read_objects(spark, source.root, source.prefix, rules, s) for s in (others, csv)]
+    if files.tasks_open(source.root):
+        lines, cells = files.read_tree(judged.where(~_is_csv()), rules.range_bytes), files.csv_cells_of(judged.where(_is_csv()))
+    else:
+        others = [s for s in rules.suffixes if s != ".csv"]
+        lines = files.read_objects(spark, source.root, source.prefix, rules, others)
+        cells = files.whole_csv(files.read_objects(spark, source.root, source.prefix, rules, [".csv"]))
     name = files.object_uri(source.bucket, source.root)
-    rows = _scan_contents(*contents, name, source.source_type, detectors, overrides)
+    rows = _scan_contents(lines, cells, name, source.source_type, detectors, overrides)
     findings, stats = _split_rows(rows, "objects")
     # listed but not read: gone or unreadable
     read = rows.where("stat is not null").select(F.col("stat.path").alias("path"))
@@ -212,30 +241,32 @@ def _scan_objects(spark, source: ObjectSource, detectors, overrides) -> tuple[Da
 def _scan_tables(spark, source: TableSource, detectors, overrides) -> tuple[DataFrame, DataFrame]:
     if not source.specs:
         raise ValueError("table source has no tables to scan")
-    findings, stats = [_empty(spark, FINDINGS_SCHEMA)], [_empty(spark, report.STATS_SCHEMA)]
+    zero = F.lit(0)
 
-    def note(status: str, rows: int = 0, error: str | None = None) -> None:
-        zero, message = F.lit(0), F.lit(error).cast("string")
-        stats.append(
-            spark.range(1).select(*_stats(F.lit(status), "tables", zero, F.lit(rows), zero, message))
-        )
+    def told(status: str, rows: int = 0, error: str | None = None) -> DataFrame:
+        frame = spark.createDataFrame([(error,)], "m string").withColumn("m", redacted("m"))
+        return frame.select(*_stats(F.lit(status), "tables", zero, F.lit(rows), zero, F.col("m")))
 
-    for spec in source.specs:
+    def one(spec: tables.TableSpec) -> tuple[DataFrame | None, DataFrame]:
         if tables.table_allowed(spec, source.allow_tables):
-            note("skipped")
-            continue
+            return None, told("skipped")
         try:
             frame = source.load(spark, spec)
             if not tables.scan_columns(frame, spec, source.allow_columns):
-                note("skipped")
-                continue
+                return None, told("skipped")
+            if not spec.id_column and source.key_of:
+                spec = replace(spec, id_column=source.key_of(spark, spec))
             units = tables.cells_of(frame, spec, source.allow_columns, source.source_type)
             found = cut_lineage(scan_units(units, detectors, overrides))
-            note("scanned", rows=frame.count())
-            findings.append(found)
+            found, rows = tables.with_numbers(found, frame, spec, source.allow_columns)
+            return found, told("scanned", rows=rows)
         except Exception as problem:  # one broken table must not stop the others
-            note("error", error=mask_message(spark, _describe(spec.label, problem)))
-    return _union(findings), _union(stats)
+            return None, told("error", error=_describe(spec.label, problem))
+
+    with ThreadPoolExecutor(min(source.at_once, len(source.specs))) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(one), source.specs))
+    findings = [_empty(spark, FINDINGS_SCHEMA), *[found for found, _ in done if found is not None]]
+    return _union(findings), _union([_empty(spark, report.STATS_SCHEMA), *[stats for _, stats in done]])
 
 
 def _plan_tables(spark, source: TableSource) -> DataFrame:

@@ -2,21 +2,20 @@
 
 Two stages that share no bytes: a *listing* (path, relative, size) decides what
 may be read, and the *contents* of what is left are decoded, cut into lines or CSV
-cells and handed on.  A file is one row, bounded by the size limit.
+cells and handed on.  Files that tasks can open are listed once by tasks (``walk``), read
+as byte ranges (``ranges``) or, if CSV, as streams; other stores go through Spark's reader
+of whole files, which hides names that start with ``_`` or ``.``.
 """
 
 from __future__ import annotations
 
-import errno
-import itertools
 import os
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +23,10 @@ from pyspark.sql import types as T
 
 from ..functions.globs import path_matches
 from ..operators.scan import as_units, redacted
-from .csv_cells import CELLS_SCHEMA, csv_batches
+from .csv_cells import CELLS_SCHEMA, csv_batches, csv_files
 from .lines import HAS_TEXT, lines_in
+from .ranges import RANGE, read_ranges, spread_by_size
+from .walk import entry, mounted, tasks_open, walk
 
 # Extensions scanned and the size limit when nothing else is said.
 EXTENSIONS = (".txt", ".csv", ".json", ".log", ".sql")
@@ -33,20 +34,23 @@ MAX_MB = 100
 
 LISTING = "path string, relative string, size bigint, link boolean, error string"
 CONTENTS = "path string, size bigint, content binary, error string"
-#: Per-file counters that travel with the findings of a scan.
-STAT = "struct<path:string,source:string,status:string,lines:bigint,bytes:bigint,error:string>"
-#: Directories the driver expands at most before tasks walk the rest.
-_DRIVER_DIRS = 512
+#: Counters of a file, or of a range of it, that travel with the findings of a scan.
+STAT = (
+    "struct<path:string,range:int,source:string,status:string,lines:bigint,bytes:bigint,error:string,rolled_back:boolean>"
+)
+#: Where a unit was read: what turns a line of a range into one of its file.
+ORIGIN = "struct<path:string,range:int,is_csv:boolean>"
 
 
 @dataclass(frozen=True)
 class FileRules:
-    """What is scanned: extensions, allowlist globs, size limit, links."""
+    """What is scanned: extensions, allowlist globs, size limit, links; bytes of a range (even)."""
 
     extensions: Sequence[str] = EXTENSIONS
     allow: Sequence[str] = ()
     max_mb: float = MAX_MB
     follow_links: bool = False
+    range_bytes: int = RANGE
 
     @property
     def suffixes(self) -> tuple[str, ...]:
@@ -66,78 +70,34 @@ def extension_of(path: Column) -> Column:
 # --------------------------------------------------------------------- listing
 
 
-def _walk(roots: Iterable[tuple[str, str]], follow: bool) -> Iterator[tuple]:
-    """Files below (directory, relative prefix) pairs of a mounted file system."""
-    for root, prefix in roots:
-        for directory, folders, names in os.walk(root, followlinks=follow):
-            folders.sort()
-            inner = os.path.relpath(directory, root)
-            base = prefix if inner == "." else os.path.join(prefix, inner)
-            for name in sorted(names):
-                yield _entry(os.path.join(directory, name), os.path.join(base, name) if base else name)
-
-
-def _entry(path: str, relative: str) -> tuple:
-    try:
-        return path, relative, os.stat(path).st_size, os.path.islink(path), None
-    except OSError as problem:
-        return path, relative, None, os.path.islink(path), problem.strerror or type(problem).__name__
-
-
-def _entries(directory: str) -> list[os.DirEntry]:
-    """What a directory holds; one that may not be listed holds nothing, as in a walk."""
-    try:
-        with os.scandir(directory) as entries:
-            return sorted(entries, key=lambda e: e.name)
-    except OSError:
-        return []
-
-
-def list_tree(spark: SparkSession, roots: Sequence[str], follow_links: bool = False) -> DataFrame:
+def list_tree(
+    spark: SparkSession, roots: Sequence[str], follow_links: bool = False, allow: Sequence[str] = ()
+) -> DataFrame:
     """Every file below the roots of a file system mounted on all nodes.
 
-    The driver opens at most a few hundred directories; tasks walk what is below.
+    The driver looks at the roots alone; folders that ``allow`` covers are never opened (N2).
     """
     if not roots:
         raise ValueError("give at least one folder or file")
     files: list[tuple] = []
-    open_dirs: list[tuple[str, str]] = []
+    folders: list[tuple[str, str]] = []
     for root in map(str, map(Path, roots)):
         if not os.path.exists(root):
             raise FileNotFoundError(f"nothing to read at {root}")
         if os.path.isdir(root):
-            open_dirs.append((root, ""))
+            folders.append((root, ""))
         else:
-            files.append(_entry(root, os.path.basename(root)))
-    parallelism = spark.sparkContext.defaultParallelism
-    for _ in range(_DRIVER_DIRS):
-        if not open_dirs or len(open_dirs) >= 4 * parallelism:
-            break
-        directory, prefix = open_dirs.pop(0)
-        for item in _entries(directory):
-            relative = f"{prefix}/{item.name}" if prefix else item.name
-            if item.is_dir(follow_symlinks=follow_links):
-                open_dirs.append((item.path, relative))
-            elif not (item.is_symlink() and item.is_dir()):
-                files.append(_entry(item.path, relative))
-    listed = spark.createDataFrame(files, LISTING)
-    if not open_dirs:
-        return listed
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "relative", "size", "link", "error"]
-        for batch in batches:
-            found = _walk(zip(batch["directory"], batch["prefix"]), follow_links)
-            while rows := list(itertools.islice(found, 10_000)):  # a subtree of any size, some rows at a time
-                yield pd.DataFrame(rows, columns=names).astype({"size": "Int64"})
-
-    below = spark.createDataFrame(open_dirs, "directory string, prefix string")
-    spread = below.repartition(min(len(open_dirs), 4 * parallelism))
-    return listed.unionByName(spread.mapInPandas(walk, LISTING))
+            files.append(entry(root, os.path.basename(root))[:-1])
+
+    def opened(found: DataFrame) -> DataFrame:
+        return found.where(~path_matches(allow, F.col("relative"), _absolute(F.col("path")))) if allow else found
+
+    listed = walk(spark, folders, follow_links, opened)
+    return listed.unionByName(spark.createDataFrame(files, LISTING)) if files else listed
 
 
 def open_store(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """A bucket or directory on any Hadoop file system, one row per object of the longest
+    """A bucket or directory on a store that only Spark opens, one row per object of the longest
     folder in ``prefix``: its siblings are not listed.  Names that start with ``_`` or
     ``.`` are hidden from Spark's listing."""
     reader = (
@@ -168,11 +128,18 @@ def _key_of(path: Column, root: str) -> Column:
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Objects whose key starts with ``prefix``; folder marks and empty objects are
-    dropped and not counted (S5).  Reads no content."""
+    dropped and not counted (S5).  Reads no content; siblings of the longest folder in
+    ``prefix`` are not listed."""
     if not root:
         raise ValueError("object source needs a bucket")
-    objects = open_store(spark, root, prefix).select("path", F.col("length").alias("size"))
-    keyed = objects.withColumn("relative", _key_of(F.col("path"), root))
+    if tasks_open(root):
+        base, folder = mounted(root).rstrip("/"), prefix.rpartition("/")[0].strip("/")
+        if base.startswith("/") and not os.path.isdir(base):
+            raise FileNotFoundError(f"nothing to read at {root}")
+        keyed = walk(spark, [(f"{base}/{folder}" if folder else base, folder)], follow=True)
+    else:
+        objects = open_store(spark, root, prefix).select("path", F.col("length").alias("size"))
+        keyed = objects.withColumn("relative", _key_of(F.col("path"), root))
     return keyed.where(F.startswith("relative", F.lit(prefix)) & (F.col("size") > 0)).select(
         "path", "relative", "size", F.lit(False).alias("link"), F.lit(None).cast("string").alias("error")
     )
@@ -234,32 +201,16 @@ def plan_targets(judged: DataFrame, name: Column, source_type: str) -> DataFrame
 # --------------------------------------------------------------------- contents
 
 
-#: A file is one value of a column; Arrow and the JVM end below 2 GB.
-LONGEST_VALUE = (1 << 31) - 64
-
-
-def read_tree(judged: DataFrame) -> DataFrame:
-    """Bytes of the files to scan, one file per Arrow batch; a file that cannot be
-    read becomes an error row and stops nothing (S21)."""
+def read_tree(judged: DataFrame, width: int = RANGE) -> DataFrame:
+    """Ranges of the files to scan, whole lines each; a file that cannot be read becomes an
+    error row and stops nothing (S21)."""
+    return read_ranges(judged.where("verdict = 'scan'"), width)
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.binary(), pa.string()]
-        for batch in batches:
-            for path, size in zip(batch["path"].to_pylist(), batch["size"].to_pylist()):
-                try:
-                    if os.path.getsize(path) > LONGEST_VALUE:
-                        raise OSError(errno.EFBIG, "larger than one value can be")
-                    row = (path, size, Path(path).read_bytes(), None)
-                except OSError as problem:
-                    row = (path, size, None, problem.strerror or type(problem).__name__)
-                columns = [pa.array([v], t) for v, t in zip(row, kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "size", "content", "error"])
 
+def csv_cells_of(judged: DataFrame) -> DataFrame:
+    """Cells of the CSV files to scan: tasks stream the files, no content passes the JVM before it is cut."""
     chosen = judged.where("verdict = 'scan'").select("path", "size")
-    # names are cheap to shuffle, and one task should hold about 128 MB of files
-    parts = chosen.agg(F.ceil(F.sum("size") / (128 << 20))).first()[0] or 1
-    cores = judged.sparkSession.sparkContext.defaultParallelism
-    return chosen.repartition(max(int(parts), cores)).mapInArrow(load, CONTENTS)
+    return spread_by_size(chosen, F.col("size")).mapInArrow(csv_files, CELLS_SCHEMA)
 
 
 def read_objects(
@@ -307,15 +258,16 @@ def decoded(contents: DataFrame) -> DataFrame:
     return wide.withColumn("text", text).drop("wide")
 
 
-def _stat(path: Column, source: Column, status: Column, lines: Column, size: Column, error: Column) -> Column:
-    return F.struct(
-        path.alias("path"),
-        source.alias("source"),
-        status.alias("status"),
-        lines.cast("bigint").alias("lines"),
-        size.cast("bigint").alias("bytes"),
-        error.alias("error"),
-    ).cast(STAT)
+def ranged_texts(ranges: DataFrame) -> DataFrame:
+    """Adds ``text`` to the rows of :func:`read_tree`: UTF-8 with bad bytes replaced, null for binary content."""
+    utf8 = F.make_valid_utf8(F.col("content").cast("string"))
+    return ranges.withColumn("text", F.when(F.col("status") == "scanned", utf8))
+
+
+def _stat(**fields: Column) -> Column:
+    defaults = {"range": F.lit(0), "rolled_back": F.lit(False)}
+    names = ("path", "range", "source", "status", "lines", "bytes", "error", "rolled_back")
+    return F.struct(*[(fields.get(n, defaults.get(n))).alias(n) for n in names]).cast(STAT)
 
 
 def _status(text: Column) -> Column:
@@ -323,25 +275,26 @@ def _status(text: Column) -> Column:
 
 
 def line_units(contents: DataFrame, name: Column, source_type: str) -> DataFrame:
-    """Lines of files, with the file's counters on its first row."""
-    files = decoded(with_source(contents, name)).select(
-        "path",
-        "source",
-        _status(F.col("text")).alias("status"),
-        "size",
-        "error",
-        lines_in(F.col("text")).alias("lines"),
+    """Lines of files, with the counters of a file or range on its first row.
+
+    ``contents`` are whole files (``path, size, content, error``) or ranges of them.
+    """
+    texts = ranged_texts(contents) if "range" in contents.columns else decoded(contents).withColumn("range", F.lit(0))
+    files = with_source(texts, name).select(
+        "path", "range", "source", "size", "error", _status(F.col("text")).alias("status"), lines_in(F.col("text")).alias("lines")
     )
     rows = files.select(
-        "path", "source", "status", "size", "error", F.size("lines").alias("n"), F.posexplode_outer("lines").alias("at", "text")
-    )
+        "path", "range", "source", "status", "size", "error",
+        F.size("lines").alias("n"), F.posexplode_outer("lines").alias("at", "text"),
+    )
     first = F.coalesce("at", F.lit(0)) == 0
     stat = F.when(
         first,
         _stat(
-            F.col("path"), F.col("source"), F.col("status"), F.greatest("n", F.lit(0)), F.col("size"), F.col("error")
+            path=F.col("path"), range=F.col("range"), source=F.col("source"), status=F.col("status"),
+            lines=F.greatest("n", F.lit(0)), bytes=F.col("size"), error=F.col("error"),
         ),
-    )
+    )
     shaped = rows.select(
         F.lit(source_type).alias("source_type"),
         "source",
@@ -351,16 +304,26 @@ def line_units(contents: DataFrame, name: Column, source_type: str) -> DataFrame
         F.lit(None).cast("string").alias("row_id"),
         "text",
         stat.alias("stat"),
+        F.struct("path", "range", F.lit(False).alias("is_csv")).cast(ORIGIN).alias("origin"),
     )
     return shaped.where(F.col("text").rlike(HAS_TEXT) | F.col("stat").isNotNull())
 
 
 def csv_units(contents: DataFrame, name: Column, source_type: str, detectors: Sequence) -> DataFrame:
+    """Cells of CSV files given as whole contents; see :func:`cell_units`."""
+    return cell_units(whole_csv(contents), name, source_type, detectors)
+
+
+def whole_csv(contents: DataFrame) -> DataFrame:
+    texts = decoded(contents).select("path", "size", "error", "text")
+    return texts.mapInArrow(csv_batches, CELLS_SCHEMA)
+
+
+def cell_units(cells: DataFrame, name: Column, source_type: str, detectors: Sequence) -> DataFrame:
     """Cells of CSV files (S8).  The first record names the columns unless one of its
     cells holds a finding; that is decided once per chunk of cells, so neither a
     second read nor a join is needed.  Files the CSV reader rejects come as lines."""
-    texts = decoded(contents).select("path", "size", "error", "text")
-    chunks = with_source(texts.mapInArrow(csv_batches, CELLS_SCHEMA), name)
+    chunks = with_source(cells, name)
     header_hit = F.lit(False)
     for detector in detectors:
         header_hit = header_hit | F.coalesce(detector.any_in(F.col("header")), F.lit(False))
@@ -376,6 +339,10 @@ def csv_units(contents: DataFrame, name: Column, source_type: str, detectors: Se
     fallback = F.concat(F.lit("col_"), (idx + 1).cast("string"))
     given = F.nullif(F.regexp_replace(F.get("names", idx), r"(?U)^\s+|\s+\z", ""), F.lit(""))
     stat = F.col("stat")
+    told = _stat(
+        path=F.col("path"), source=F.col("source"), status=stat["status"], lines=stat["lines"], bytes=stat["bytes"],
+        error=stat["error"], rolled_back=stat["rolled_back"],
+    )
     return named.select(
         F.lit(source_type).alias("source_type"),
         "source",
@@ -384,10 +351,8 @@ def csv_units(contents: DataFrame, name: Column, source_type: str, detectors: Se
         F.lit(None).cast("bigint").alias("row"),
         F.lit(None).cast("string").alias("row_id"),
         F.col("cell.text").alias("text"),
-        F.when(
-            stat.isNotNull() & (F.coalesce("at", F.lit(0)) == 0),
-            _stat(F.col("path"), F.col("source"), stat["status"], stat["lines"], stat["bytes"], stat["error"]),
-        ).alias("stat"),
+        F.when(stat.isNotNull() & (F.coalesce("at", F.lit(0)) == 0), told).alias("stat"),
+        F.struct("path", F.lit(0).alias("range"), "is_csv").cast(ORIGIN).alias("origin"),
     )
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from ..functions.globs import name_matches
 from ..functions.spans import record
 from ..functions.texts import shown_row_id
 from ..operators.scan import as_units
+from ..plans.ordinals import numbered, part_of, place_of, with_offsets
+from ..plans.shared import written
 
 _TEXT_TYPES = (T.StringType, T.CharType, T.VarcharType, T.VariantType)
-#: Most range buckets a row numbering is split into.
-MAX_BUCKETS = 20_000
 
 
 @dataclass(frozen=True)
@@ -74,84 +75,46 @@ def table_allowed(spec: TableSpec, allowed: Iterable[str]) -> bool:
 # ---------------------------------------------------------------- row numbers
 
 
+def _fingerprint(df: DataFrame) -> Column:
+    return F.xxhash64(*[_hashable(df, c) for c in df.columns])
+
+
+def _hashable(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    return F.to_json(F.struct(quoted(name))) if isinstance(kind, (T.MapType, T.VariantType)) else F.col(quoted(name))
+
+
 def with_row_number(df: DataFrame, key: str, into: str = "row") -> DataFrame:
     """Number rows 1, 2, ... in the order of a unique key, without one global sort.
 
-    Rows fall into key ranges whose bounds come from a sample; a window numbers each
-    range on its own and a small count per range gives its first number.  The bounds
-    only set the balance: any bounds give the same numbers, so retries are safe.
+    Rows are sorted in ranges, offsets of the ranges are a joined table.  Rows alike in the
+    key (null ones, say) are ordered by a hash of the row, so that ranges can cut them.
     """
-    column = F.col(quoted(key))
-    bounds = _range_bounds(df, column)
-    ranged = df.withColumn("_range", _range_of(column, bounds, df.schema[key].dataType))
-    counts = ranged.groupBy("_range").count()
-    # at most one row per range; nulls sort first, as in the window below
-    sizes = {r["_range"]: r["count"] for r in counts.collect()}
-    start, starts = 0, []
-    for number in range(len(bounds) + 1):
-        starts.append(start)
-        start += sizes.get(number, 0)
-    offset = F.get(F.split(F.lit(",".join(map(str, starts))), ","), F.col("_range")).cast("bigint")
-    from pyspark.sql import Window
-
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(column))
-    return ranged.withColumn(into, offset + local).drop("_range")
-
-
-def _range_bounds(df: DataFrame, column: Column) -> list:
-    """Keys that cut the table into ranges of about equal size, from a bounded sample."""
-    total = df.count()
-    rows_per_range = 100_000
-    ranges = min(MAX_BUCKETS, -(-total // rows_per_range))
-    if ranges <= 1:
-        return []
-    wanted = ranges * 20
-    sample = df.select(column.alias("k")).where("k is not null").sample(min(1.0, wanted * 1.2 / total), seed=7)
-    keys = sorted(r["k"] for r in sample.limit(2 * wanted).collect())
-    step = max(1, len(keys) // ranges)
-    return sorted(set(keys[step::step]))
-
-
-def _range_of(column: Column, bounds: list, kind: T.DataType) -> Column:
-    """Index of a key's range by binary search over the bounds: log2(n) steps."""
-    if not bounds:
-        return F.lit(0)
-    listed = F.array(*[F.lit(b) for b in bounds]).cast(T.ArrayType(kind))
-    steps = F.array(*[F.lit(0)] * len(bounds).bit_length())
-
-    def middle(acc: Column) -> Column:
-        return F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-
-    found = F.aggregate(
-        steps,
-        record(lo=F.lit(0), hi=F.lit(len(bounds))),
-        lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc)
-        .when(
-            F.get(listed, middle(acc)) <= column,
-            record(lo=(middle(acc) + 1).cast("int"), hi=acc["hi"]),
-        )
-        .otherwise(record(lo=acc["lo"], hi=middle(acc))),
-        lambda acc: acc["lo"],
-    )
-    return F.when(column.isNull(), F.lit(0)).otherwise(found)
+    order = "_order"
+    while order in df.columns:
+        order += "_"
+    hashed = df.withColumn(order, _fingerprint(df))
+    return numbered(hashed, F.col(quoted(key)).asc_nulls_first(), F.col(order).asc(), number=into).drop(order)
 
 
 def with_scan_number(df: DataFrame, into: str = "row") -> DataFrame:
-    """Number rows 1, 2, ... in scan order, without a shuffle.
+    """Number rows 1, 2, ... in scan order, without a shuffle of rows.
 
-    ``df`` must be a plain scan, whose partitions are the same every time it runs:
-    a first narrow job counts the rows of each partition, the second adds up.
+    ``df`` must be a plain scan, whose partitions are the same every time it runs: a
+    narrow job without columns counts the rows of each partition, the sums are joined.
     """
-    numbered = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = {r["p"]: r["count"] for r in numbered.groupBy(part.alias("p")).count().collect()}
-    start, starts = 0, []
-    for number in range(max(sizes, default=0) + 1):
-        starts.append(start)
-        start += sizes.get(number, 0)
-    offset = F.get(F.split(F.lit(",".join(map(str, starts))), ","), part.cast("int")).cast("bigint")
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn(into, offset + within + 1).drop("_at")
+    at = "_at"
+    while at in df.columns:
+        at += "_"
+    rows = df.withColumn(at, F.monotonically_increasing_id()).withColumn("part", part_of(at))
+    numbers = with_offsets(rows, scan_counts(df))
+    return numbers.withColumn(into, F.col("before") + place_of(F.col(at)) + 1).drop(at, "part", "before")
+
+
+def scan_counts(df: DataFrame) -> DataFrame:
+    """``part, n``: rows of each partition of a plain scan, none of its columns read."""
+    at = df.select(F.monotonically_increasing_id().alias("at"))
+    return at.groupBy(part_of("at").alias("part")).agg(F.count("*").alias("n"))
 
 
 # ----------------------------------------------------------------------- cells
@@ -160,23 +123,27 @@ def with_scan_number(df: DataFrame, into: str = "row") -> DataFrame:
 def cells_of(
     df: DataFrame, spec: TableSpec, allowed_columns: Iterable[str] = (), source_type: str = "postgres"
 ) -> DataFrame:
-    """One unit per non-empty cell: source ``schema.table.column``, row number and,
-    where it may be shown, the row's key (S11).  No shuffle unless ``order_by`` asks
-    for numbers in key order."""
+    """One unit per non-empty cell: source ``schema.table.column``, and, where it may be shown, the row's
+    key (S11).  Nothing shuffles.
+
+    ``row`` is not yet a number: it is a place in the scan or, with ``order_by``, a hash of the row;
+    :func:`with_numbers` turns those of the findings into numbers.
+    """
     columns = scan_columns(df, spec, allowed_columns)
     if not columns:
         return as_units(df.limit(0), text=F.lit(""))
     key = spec.id_column
-    needed = list(dict.fromkeys([*columns, *filter(None, [key, spec.order_by])]))
-    narrow = df.select(*[F.col(quoted(c)) for c in needed])
-    rows = with_row_number(narrow, spec.order_by, "_row") if spec.order_by else with_scan_number(narrow, "_row")
+    narrow = _narrow(df, spec, columns)
     row_id = F.lit(None).cast("string")
     if key:
         row_id = shown_row_id(F.col(quoted(key)), df.schema[key].dataType.simpleString())
     cells = F.array(
         *[record(name=F.lit(c), text=_as_text(df, c)) for c in columns]
     )
-    long = rows.select("_row", row_id.alias("row_id"), F.explode(cells).alias("cell"))
+    at = _fingerprint(narrow) if spec.order_by else F.monotonically_increasing_id()
+    # places are those of rows: they come before rows turn into cells
+    rows = narrow.select(at.alias("_row"), row_id.alias("row_id"), cells.alias("cells"))
+    long = rows.select("_row", "row_id", F.explode("cells").alias("cell"))
     filled = long.where("cell.text is not null and cell.text <> ''")
     return as_units(
         filled,
@@ -189,29 +156,99 @@ def cells_of(
     )
 
 
-def read_jdbc(
-    spark: SparkSession,
-    url: str,
-    spec: TableSpec,
-    batch_size: int = 1000,
-    split: tuple[str, int, int, int] | None = None,
-    **options: str,
-) -> DataFrame:
-    """A database table through Spark's JDBC source, ``batch_size`` rows per fetch
-    (S17).  ``split`` is (numeric column, lowest, highest, partitions); without it a
-    table is read by one task."""
-    table = ".".join('"' + quoted(part)[1:-1].replace("``", "`").replace('"', '""') + '"' for part in (spec.schema, spec.name))
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    reader = reader.option("fetchsize", batch_size).options(**options)
-    if split:
-        column, low, high, parts = split
-        reader = (
-            reader.option("partitionColumn", column)
-            .option("lowerBound", low)
-            .option("upperBound", high)
-            .option("numPartitions", parts)
-        )
-    return reader.load()
+def _narrow(df: DataFrame, spec: TableSpec, columns: Sequence[str]) -> DataFrame:
+    needed = list(dict.fromkeys([*columns, *filter(None, [spec.id_column, spec.order_by])]))
+    return df.select(*[F.col(quoted(c)) for c in needed])
+
+
+def with_numbers(
+    found: DataFrame, df: DataFrame, spec: TableSpec, allowed_columns: Iterable[str] = ()
+) -> tuple[DataFrame, int]:
+    """Findings with row numbers from 1, and how many rows the table has: one narrow pass besides the scan.
+
+    Numbers in scan order come from the counts of the partitions; with ``order_by`` the table is sorted in
+    ranges and no more than hashes of its rows are written.  Rows that are alike to the last column that
+    was read have the same findings, so each number of theirs gets them once.
+    """
+    if not spec.order_by:
+        counts = written(scan_counts(df), "table-counts")
+        at = with_offsets(found.withColumn("part", part_of("row")), counts)
+        numbers = at.withColumn("row", F.col("before") + place_of(F.col("row")) + 1)
+        return numbers.select(*found.columns), counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    columns = scan_columns(df, spec, allowed_columns)
+    rows = _narrow(df, spec, columns)
+    hashed = rows.withColumn("row hash", _fingerprint(rows))
+    order = (F.col(quoted(spec.order_by)).asc_nulls_first(), F.col("`row hash`").asc())
+    ranks = written(numbered(hashed, *order, number="number", keep=("row hash",)), "table-ranks")
+    numbers = found.distinct().join(ranks, F.col("row") == F.col("`row hash`")).withColumn("row", F.col("number"))
+    return numbers.select(*found.columns), ranks.count()
+
+
+def _sql_name(*parts: str) -> str:
+    return ".".join('"' + quoted(part)[1:-1].replace("``", "`").replace('"', '""') + '"' for part in parts)
+
+
+def quantile_query(spec: TableSpec, key: str, parts: int) -> str:
+    """Least key of each of ``parts`` runs of equal size: the bounds of the reads."""
+    column, table = _sql_name(key), _sql_name(spec.schema, spec.name)
+    tiles = f"select {column} as k, ntile({int(parts)}) over (order by {column}) as tile from {table} where {column} is not null"
+    return f"select min(k) as k from ({tiles}) runs group by tile order by 1"
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, bool) or value is None:
+        raise ValueError("a key of that type cannot be cut into ranges")
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def range_predicates(key: str, bounds: Sequence[object]) -> list[str]:
+    """Conditions that hold for each row exactly once: null keys, keys below the second bound, and so on."""
+    column = _sql_name(key)
+    cuts = [_literal(b) for b in bounds[1:]]
+    if not cuts:
+        return []
+    inner = [f"{column} >= {low} and {column} < {high}" for low, high in zip(cuts, cuts[1:])]
+    return [f"{column} is null or {column} < {cuts[0]}", *inner, f"{column} >= {cuts[-1]}"]
+
+
+@dataclass(frozen=True)
+class Database:
+    """Tables of a database through Spark's JDBC source: ``load`` and ``key_of`` for a table source.
+
+    A table with a one-column key is read by ``parts`` tasks, whose conditions come from quantiles of the
+    key, ``batch_size`` rows a fetch; one without by one task.
+    """
+
+    url: str
+    options: Mapping[str, str] = field(default_factory=dict)
+    parts: int = 32
+    batch_size: int = 1000
+
+    def _query(self, spark: SparkSession, sql: str) -> list:
+        return spark.read.format("jdbc").option("url", self.url).option("query", sql).options(**self.options).load().collect()
+
+    def key_of(self, spark: SparkSession, spec: TableSpec) -> str | None:
+        """The one primary-key column of a table, or None."""
+        names = [r[0] for r in self._query(spark, primary_key_query(spec))]
+        return names[0] if len(names) == 1 else None
+
+    def predicates(self, spark: SparkSession, spec: TableSpec) -> list[str]:
+        """Conditions of the reads of a table; none without a key."""
+        key = spec.order_by or spec.id_column or self.key_of(spark, spec)
+        if not key:
+            return []
+        # at most one bound for each part
+        return range_predicates(key, [r[0] for r in self._query(spark, quantile_query(spec, key, self.parts))])
+
+    def load(self, spark: SparkSession, spec: TableSpec) -> DataFrame:
+        predicates = self.predicates(spark, spec)
+        table = _sql_name(spec.schema, spec.name)
+        told = {**self.options, "fetchsize": str(self.batch_size)}
+        if predicates:
+            return spark.read.jdbc(self.url, table, predicates=predicates, properties=told)
+        return spark.read.format("jdbc").option("url", self.url).option("dbtable", table).options(**told).load()
 
 
 def primary_key_query(spec: TableSpec) -> str:
@@ -225,10 +262,3 @@ def primary_key_query(spec: TableSpec) -> str:
         "and k.table_name = c.table_name "
         f"where c.constraint_type = 'PRIMARY KEY' and c.table_schema = '{schema}' and c.table_name = '{name}'"
     )
-
-
-def single_key(spark: SparkSession, url: str, spec: TableSpec, **options: str) -> str | None:
-    """The one primary-key column of a database table, or None."""
-    reader = spark.read.format("jdbc").option("url", url).option("query", primary_key_query(spec))
-    names = [r[0] for r in reader.options(**options).load().limit(2).collect()]
-    return names[0] if len(names) == 1 else None
