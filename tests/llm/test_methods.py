@@ -18,9 +18,10 @@ from compare import compare, oracle
 from veilsift.llm import op01_secrets, op02_line_dedup, op04_packing, op06_jaccard_join, op08_pii
 from veilsift.llm import op09_toxicity as tox
 from veilsift.llm.components import components
+from veilsift.llm.op03_chat_format import windows
 from veilsift.llm.op04_packing import op4_packing, pack
 from veilsift.llm.op05_token_counts import build_trees, mark_numbers, op5_token_counts, recount
-from veilsift.llm.op07_neighbours import op7_nearest
+from veilsift.llm.op07_neighbours import op7_nearest, points_of
 from veilsift.llm.op10_decontaminate import decontaminate, find_contamination, tile
 from veilsift.llm.queries import ORACLE_SQL
 from veilsift.llm.trigrams import trigram_query
@@ -506,3 +507,42 @@ def test_digests_of_queries_are_of_their_texts(spark, texts):
     for r in entry.queries()["op2_line_dedup"](spark, SMALL).collect():
         if not r["n_dropped"]:
             assert r["kept_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+# windows of conversations
+
+
+def test_windows_stay_within_their_budget(spark):
+    """No window exceeds the budget unless one turn does not fit beside the system turn; history is cut first."""
+    rng = random.Random(9)
+    rows, sizes = [], {}
+    for conv in range(150):
+        n = rng.randint(1, 14)
+        system = rng.choice([0, 5, 60, 300, 904, 1019, 1500])
+        turns = [("system", system)] * (system > 0) + [(rng.choice(["user", "assistant"]), rng.choice([1, 50, 100, 250, 400, 700, 900, 1020, 1400])) for _ in range(n)]
+        sizes[conv] = turns
+        rows += [(conv, i, role, "w " * words) for i, (role, words) in enumerate(turns)]
+    rows += [(900, i, "user", "w " * k) for i, k in enumerate((50, 250, 900))] + [(901, 0, "system", "w " * 900)] + [(901, i, "user", "w " * 100) for i in range(1, 9)]
+    seen = collections.Counter()
+    for r in windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        tokens = [len(t["text"].split()) + 4 for t in r["turns"]]
+        fresh = [t["place"] for t in r["turns"] if t["fresh"]]
+        system = sum(k for t, k in zip(r["turns"], tokens) if t["role"] == "system" and not t["fresh"])
+        if sum(tokens) > 1024:
+            assert system >= 1024 or len(fresh) == 1 and system + max(k for t, k in zip(r["turns"], tokens) if t["fresh"]) > 1024
+            assert all(t["fresh"] or t["role"] == "system" for t in r["turns"])
+            seen["over"] += 1
+        seen["windows"] += 1
+        seen["repeated"] += len(tokens) - len(fresh)
+        places = sorted(t["place"] for t in r["turns"] if t["fresh"] or t["role"] != "system")
+        assert places == list(range(places[0], places[-1] + 1)) or any(t["role"] == "system" for t in r["turns"])
+    assert seen["windows"] > 300 and seen["repeated"] > 200 and seen["over"] > 10
+
+
+def test_a_hot_vector_shrinks_before_it_meets(spark):
+    rows = spark.range(5000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 > 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id") * 1.0, F.lit(0.0))).alias("v"))
+    points = points_of(rows.union(rows), 4)
+    ids = {tuple(r["v"]): r["ids"] for r in points.collect()}
+    assert ids[1.0, 2.0] == [1, 2, 4, 5, 7] and len(ids) == 1668 and ids[6.0, 0.0] == [6]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert points._jdf.queryExecution().explainString(mode).count("WindowGroupLimit") >= 2  # one of them before the shuffle

@@ -4,10 +4,13 @@ Every turn has a token count (words plus ``OVERHEAD`` for its marks).  Prefix su
 counts, first per block of turns, then within it, place a turn in its conversation without
 gathering the conversation.  The line of tokens is cut into cells of the budget that
 history and system turn leave; turns inside a cell form a window, a turn that crosses a
-cell border is a window of its own, so windows are turn-aligned and only a turn longer
-than the budget exceeds it.  A window repeats the conversation's first system turn and the
-turns of the ``history`` tokens before it; repeated turns bear no loss, so each assistant
-text is a target once.
+cell border is a window of its own, so windows are turn-aligned.  A window repeats the
+conversation's first system turn and the turns of at most ``history`` tokens before it, as
+far as the budget has room beside system turn and new turns; repeated turns bear no loss,
+so each assistant text is a target once.
+
+A window holds at most ``budget`` tokens.  It exceeds them, without history, only where the
+system turn alone fills the budget or one turn does not fit beside it; neither is cut or left out.
 
 The template is ``<s>``, then for each turn ``[INST]role[/INST]text</s>``.  In roles and
 texts a backslash follows every ``<`` and ``[``, so no control string can occur there, and
@@ -68,23 +71,29 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     first = F.min(F.when(F.col("role") == "system", F.struct("place", "start", "tokens", "role", "text"))).alias("system")
     system = rows.groupBy(F.col("conv_id").alias("_s")).agg(first)
     rows = rows.join(system, F.col("conv_id").eqNullSafe(F.col("_s"))).drop("_s")
-    left = budget - history - F.coalesce(F.col("system.tokens"), F.lit(0))
-    rows = rows.withColumn("fresh_tokens", F.greatest(F.lit(budget // 4).cast("long"), left))
+    own, least = F.coalesce(F.col("system.tokens"), F.lit(0).cast("long")), F.lit(budget // 4).cast("long")
+    left = budget - history - own
+    # a long system turn takes the room of history first, then that of new turns
+    cell_tokens = F.when(left >= least, left).when(own < budget, F.least(least, budget - own)).otherwise(least)
+    rows = rows.withColumn("fresh_tokens", cell_tokens)
     cell = F.floor(F.col("start") / F.col("fresh_tokens"))
     crosses = F.floor((F.col("start") + F.col("tokens") - 1) / F.col("fresh_tokens")) > cell
     rows = rows.withColumn("window", 2 * cell + crosses.cast("long"))
     spans = rows.groupBy(F.col("conv_id").alias("_c"), F.col("window").alias("_w")).agg(
-        F.min("start").alias("_start"), F.min("place").alias("_first"), F.first("system").alias("_system")
+        F.min("start").alias("_start"), F.min("place").alias("_first"), F.sum("tokens").alias("_new"), F.first("system").alias("_system")
     )
+    before = F.when(F.col("_system.place") < F.col("_first"), F.col("_system.tokens")).otherwise(0)
+    room = F.greatest(budget - before - F.col("_new"), F.lit(0))
+    spans = spans.withColumn("_history", F.least(room, F.lit(history)))
 
     turn = ("place", "fresh", "role", "text")
     fresh = rows.withColumn("fresh", F.lit(True)).select("conv_id", "window", *turn)
     last = 2 * F.floor((F.col("start") + history) / F.col("fresh_tokens")) + 1
     later = rows.where(last > F.col("window")).withColumn("later", F.explode(F.sequence(F.col("window") + 1, last)))
     again = later.join(spans, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("later") == F.col("_w")))
-    again = again.where(F.col("_start") - F.col("start") <= history).withColumn("fresh", F.lit(False))
+    again = again.where(F.col("_start") - F.col("start") <= F.col("_history")).withColumn("fresh", F.lit(False))
     again = again.select("conv_id", F.col("later").alias("window"), *turn)
-    ahead = (F.col("_system.place") < F.col("_first")) & (F.col("_start") - F.col("_system.start") > history)
+    ahead = (F.col("_system.place") < F.col("_first")) & (F.col("_start") - F.col("_system.start") > F.col("_history"))
     heads = spans.where(ahead).select(
         F.col("_c").alias("conv_id"), F.col("_w").alias("window"), F.col("_system.place").alias("place"),
         F.lit(False).alias("fresh"), F.col("_system.role").alias("role"), F.col("_system.text").alias("text"),
@@ -171,21 +180,23 @@ WITH given AS (
   WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place) = 1
 ), sized AS (
   SELECT t.*, s_place, s_start, s_role, s_text,
-         greatest({BUDGET // 4}, {BUDGET - HISTORY} - coalesce(s_tokens, 0)) AS fresh
+         CASE WHEN {BUDGET - HISTORY} - coalesce(s_tokens, 0) >= {BUDGET // 4} THEN {BUDGET - HISTORY} - coalesce(s_tokens, 0)
+              WHEN s_tokens < {BUDGET} THEN least({BUDGET // 4}, {BUDGET} - s_tokens) ELSE {BUDGET // 4} END AS fresh, s_tokens
   FROM turns t LEFT JOIN systems s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), keyed AS (
   SELECT *, 2 * (start // fresh) + CAST((start + tokens - 1) // fresh > start // fresh AS BIGINT) AS win FROM sized
 ), spans AS (
   SELECT conv_id, win, min(start) AS w_start, min(place) AS w_first, any_value(s_place) AS s_place,
-         any_value(s_start) AS s_start, any_value(s_role) AS s_role, any_value(s_text) AS s_text
+         any_value(s_start) AS s_start, any_value(s_role) AS s_role, any_value(s_text) AS s_text,
+         greatest(0, least({HISTORY}, {BUDGET} - sum(tokens) - CASE WHEN any_value(s_place) < min(place) THEN any_value(s_tokens) ELSE 0 END)) AS w_history
   FROM keyed GROUP BY conv_id, win
 ), shown AS (
   SELECT conv_id, role, text FROM keyed
   UNION ALL
   SELECT k.conv_id, k.role, k.text FROM keyed k JOIN spans w
-    ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND w.win > k.win AND w.w_start - k.start <= {HISTORY}
+    ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND w.win > k.win AND w.w_start - k.start <= w.w_history
   UNION ALL
-  SELECT conv_id, s_role, s_text FROM spans WHERE s_place < w_first AND w_start - s_start > {HISTORY}
+  SELECT conv_id, s_role, s_text FROM spans WHERE s_place < w_first AND w_start - s_start > w_history
 ), sizes AS (
   SELECT conv_id, sum(17 + length(replace(replace(role, '<', '<\'), '[', '[\')) + length(replace(replace(text, '<', '<\'), '[', '[\'))) AS chars
   FROM shown GROUP BY conv_id

@@ -159,14 +159,13 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
 def points_of(rows: DataFrame, k: int) -> DataFrame:
     """``point, dims, v, ids``: distinct vectors with their k + 1 least ids.
 
-    Hot vectors shrink before they meet: first within (vector, id mod 64), then per vector.
+    Rows of one vector and id are one; of the ids of a vector every task passes on no more than
+    k + 1, so a hot vector shrinks before it meets.
     """
-    point = F.xxhash64("v")
-    parts = rows.groupBy("v", F.pmod("vec_id", F.lit(64)).alias("salt")).agg(
-        F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")
-    )
-    whole = parts.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    return whole.select(point.alias("point"), F.size("v").alias("dims"), "v", "ids")
+    least = Window.partitionBy("v").orderBy("vec_id")
+    few = rows.select("v", "vec_id").distinct().withColumn("at", F.row_number().over(least)).where(F.col("at") <= k + 1)
+    whole = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return whole.select(F.xxhash64("v").alias("point"), F.size("v").alias("dims"), "v", "ids")
 
 
 def build_graphs(points: DataFrame, shard_size: int = 4096, degree: int = 16, beam: int = 96) -> DataFrame:
