@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.spans import SPAN, find_spans
+from .safe_regex import without_recursion
 
 #: Any decimal digit, of any script.
 HAS_DIGIT = r"\p{Nd}"
@@ -105,7 +106,7 @@ def _python_spans(name, find):
 # ------------------------------------------------------------ custom patterns
 
 # A repeated group over user text recurses in the JVM's regex engine, and a few
-# constructs mean something else there; such patterns run on Python's engine.
+# constructs mean something else there; such patterns are rewritten or run on Python's engine.
 _OTHER_ENGINE = re.compile(r"\)(?:[*+]|\{\d*,?\d*\})|\(\?P|\(\?\(|\\Z|\\N|&&|\[\^?\[|[^\\]\[[^\]]*\[")
 
 
@@ -137,8 +138,12 @@ def java_form(pattern: str) -> str:
 
 def custom_spans(pattern: str, data_type: str, subtype: str) -> tuple[Callable[[Column], Column], bool]:
     """Spans of a user's Python regex, and whether they are a native expression."""
-    if runs_on_jvm(pattern):
-        return (lambda text: find_spans(text, java_form(pattern), data_type, subtype)), True
+    re.compile(pattern)
+    native = java_form(pattern) if runs_on_jvm(pattern) else None
+    if native is None and (safe := without_recursion(pattern)) is not None:
+        native = java_form(safe)
+    if native is not None:
+        return (lambda text: find_spans(text, native, data_type, subtype)), True
 
     def find(text: str):
         return ((m.start(), m.end(), subtype) for m in re.compile(pattern).finditer(text))

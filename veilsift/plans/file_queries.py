@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,53 +13,164 @@ from pyspark.sql import functions as F
 from ..functions.masks import mask_keep_last
 from ..operators.detector import python_detector, regex_detector
 from ..operators.registry import all_detectors, build_detectors
-from ..operators.scan import scan_units
+from ..operators.scan import scan_rows, scan_units
+from ..sources import files
 from ..sources.files import FileRules
+from ..sources.spread import spread
 from ..sources.tables import TableSpec
+from ..sources.walk import mounted
+from ..streaming import stream
 from .inputs import document_lines, table
 from .scan_job import FileSource, ObjectSource, ScanResult, TableSource, run_scan
 from .shared import new_folder
 
 
 def _lake(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as text files below two folders, by parity of the id."""
+    """All documents as text files below one folder, the pages below another that scans leave out."""
     folder = new_folder(spark, "lake")
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    for name, odd in (("even", 0), ("odd", 1)):
-        docs.where(F.col("doc_id") % 2 == odd).select("text").write.text(f"{folder}/{name}")
+    for name, text in (("documents", "text"), ("pages", "html")):
+        rows = table(spark, sf_dir, name).select(F.coalesce(text, F.lit("")).alias("text"))
+        rows.write.text(f"{folder}/{name}")
     return folder
 
 
-def _mounted(folder: str) -> str:
-    """A URI of the local file system as the path under which nodes mount it."""
-    return re.sub(r"^file:/+", "/", folder)
-
-
 def _counted(findings: DataFrame, *keys: str) -> DataFrame:
     return findings.groupBy(*keys).agg(F.count("*").alias("findings"))
 
 
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors over a mounted tree, one folder of it allowlisted."""
-    rules = FileRules(allow=["odd/**"])
-    found = run_scan(spark, [FileSource([_mounted(_lake(spark, sf_dir))], rules)], all_detectors()).findings
+    rules = FileRules(allow=["pages"])
+    found = run_scan(spark, [FileSource([mounted(_lake(spark, sf_dir))], rules)], all_detectors()).findings
     return _counted(found, "source_type", "data_type", "risk")
 
 
 def object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors over the objects of one prefix."""
-    found = run_scan(spark, [ObjectSource("lake", _lake(spark, sf_dir), "odd/")], all_detectors()).findings
+    found = run_scan(spark, [ObjectSource("lake", _lake(spark, sf_dir), "documents/")], all_detectors()).findings
     return _counted(found, "source_type", "data_type", "risk")
 
 
+def hidden_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in objects below folders whose names start with ``_`` and ``.``."""
+    folder = new_folder(spark, "bucket")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.text(f"{folder}/_archive/.old")
+    found = run_scan(spark, [ObjectSource("bucket", folder)], build_detectors(only=["email"])).findings
+    return _counted(found, "source_type", "data_type")
+
+
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with a link to its folder of documents and one that leads nowhere, with links left alone and
+    followed: files found, and errors."""
+    folder = mounted(_lake(spark, sf_dir))
+    os.symlink(f"{folder}/documents", f"{folder}/twin")
+    os.symlink(f"{folder}/nothing", f"{folder}/broken.txt")
+    rows = []
+    for follow in (False, True):
+        rules = FileRules(allow=["pages"], follow_links=follow)
+        result = run_scan(spark, [FileSource([folder], rules)], build_detectors(only=["email"]))
+        found = result.findings.agg(F.count("*").alias("findings"))
+        errors = result.stats().select("errors")
+        rows.append(found.crossJoin(errors).select(F.lit(follow).alias("followed"), "findings", "errors"))  # one row each
+    return rows[0].union(rows[1])
+
+
+def ranged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in files that are read in ranges of 4 KB."""
+    folder = new_folder(spark, "ranges")
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text")).write.text(folder)
+    rules = FileRules(range_bytes=4096)
+    found = run_scan(spark, [FileSource([mounted(folder)], rules)], build_detectors(only=["email"])).findings
+    return found.select("offset", "masked_value")
+
+
+def rejected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in a CSV file each; the reader rejects half of them, which count as lines."""
+    k = F.col("c_custkey").cast("string")
+    last = F.when(F.col("c_custkey") % 2 == 0, F.lit("a\rb\n")).otherwise(F.lit("a,b\n"))
+    content = F.encode(F.concat(F.lit("id,mail\n"), k, F.lit(",u"), k, F.lit("@example.com\n"), last), "UTF-8")
+    files_ = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
+        F.concat(F.lit("dir/"), k, F.lit(".csv")).alias("path"), F.length(content).cast("bigint").alias("size"),
+        content.alias("content"), F.lit(None).cast("string").alias("error"),
+    )
+    detectors = build_detectors(only=["email"])
+    found = scan_rows(files.csv_units(files_, F.col("path"), "file", detectors), detectors, carry="stat")
+    return found.where("data_type is not null").select("source", "line", "column_name", "offset")
+
+
+def quoted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a table whose columns are named to break a query."""
+    names = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("k`; drop table x"), F.concat("c_name", F.lit("@example.com")).alias('a.b" or 1=1')
+    )
+    spec = TableSpec("c`u", columns=['a.b" or 1=1'], id_column="k`; drop table x")
+    source = TableSource([spec], lambda s, _: names)
+    found = run_scan(spark, [source], build_detectors(only=["email"])).findings
+    return found.select("source", "row_id", "offset", "masked_value")
+
+
+def broken_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of which some cannot be loaded: findings of the others, errors of these."""
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), "c_custkey", F.lit("@example.com")).alias("mail"))
+
+    def load(session: SparkSession, spec: TableSpec) -> DataFrame:
+        if spec.name == "gone":
+            raise OSError("no table for mia@box.de")
+        return names
+
+    specs = [TableSpec("gone"), TableSpec("people"), TableSpec("people", columns=["no_such"])]
+    result = run_scan(spark, [TableSource(specs, load)], build_detectors(only=["email"]))
+    shown = F.count_if(F.contains("error", F.lit("mia@box.de")))
+    errors = result.target_stats.agg(F.count("error").alias("errors"), shown.alias("raw_errors"), F.sum("rows_scanned").alias("rows"))
+    return result.findings.agg(F.count("*").alias("findings")).crossJoin(errors)  # one row each
+
+
+def detector_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under settings that turn detectors on and off."""
+    units = document_lines(spark, sf_dir)
+    choices = {
+        "defaults": build_detectors(),
+        "with phones": build_detectors({"phone": {"enabled": True}}),
+        "no mail": build_detectors({"email": {"enabled": False}}),
+    }
+    counts = [scan_units(units, chosen).groupBy("data_type").agg(F.count("*").alias("findings")) for chosen in choices.values()]
+    named = [c.select(F.lit(name).alias("choice"), "data_type", "findings") for name, c in zip(choices, counts)]
+    return reduce(DataFrame.union, named)
+
+
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by source of ``documents`` as a stream of files, one batch each."""
+    found = _document_stream(spark, sf_dir, build_detectors(only=["email"]))
+    folder = new_folder(spark, "stream")
+    stream.write_counters(found, f"{folder}/counters", f"{folder}/checkpoint", once=True).awaitTermination()
+    return stream.read_counters(spark, f"{folder}/counters").select("source", "data_type", "risk", "findings")
+
+
+def stream_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` redacted as a stream."""
+    schema = table(spark, sf_dir, "documents").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet").select("doc_id", "text")
+    folder = new_folder(spark, "stream")
+    clean = stream.redact_stream(rows, ["text"])
+    stream.write_findings(clean, f"{folder}/rows", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(clean.schema).parquet(f"{folder}/rows")
+
+
+def _document_stream(spark: SparkSession, sf_dir: str, detectors: tuple) -> DataFrame:
+    schema = table(spark, sf_dir, "documents").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
+    return stream.scan_stream(rows, "text", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), detectors)
+
+
 def _three_sources(spark: SparkSession, sf_dir: str) -> ScanResult:
     folder = _lake(spark, sf_dir)
-    names = table(spark, sf_dir, "documents").select(F.concat(F.lit("id"), "doc_id").alias("doc"), "text")
+    names = table(spark, sf_dir, "documents").select("text")
     sources = [
-        FileSource([_mounted(folder)], FileRules(allow=["odd/**"])),
-        ObjectSource("lake", folder, "odd/"),
+        FileSource([mounted(folder)], FileRules(allow=["pages"])),
+        ObjectSource("lake", folder, "documents/"),
         TableSource([TableSpec("docs", columns=["text"])], lambda s, _: names),
-        FileSource([str(PurePosixPath(_mounted(folder)) / "mia@box.de")]),
+        FileSource([str(PurePosixPath(mounted(folder)) / "mia@box.de")]),
     ]
     return run_scan(spark, sources, build_detectors(only=["email"]))
 
@@ -97,4 +210,13 @@ QUERIES = {
     "multi_source_scan": multi_source_scan,
     "json_report": json_report,
     "custom_detector": custom_detector,
+    "hidden_objects": hidden_objects,
+    "linked_files": linked_files,
+    "ranged_files": ranged_files,
+    "rejected_tables": rejected_tables,
+    "quoted_names": quoted_names,
+    "broken_targets": broken_targets,
+    "detector_selection": detector_selection,
+    "stream_counters": stream_counters,
+    "stream_redaction": stream_redaction,
 }

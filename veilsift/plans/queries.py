@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, globs, masks, texts
@@ -222,6 +222,11 @@ def shipment_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("data_type", "risk", "masked_value").agg(F.count("*").alias("findings"))
 
 
+def _ranked(counts: DataFrame, *order) -> DataFrame:
+    """Rows of a report, one for each type, with their place in it."""
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def _on_log(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(log_findings(spark, sf_dir))
 
@@ -480,13 +485,13 @@ QUERIES: dict[str, Query] = {
     "redact_profiles": redact_profiles,
     "redact_log_lines": redact_log_lines,
     # reports
-    "type_counts": _on_log(report.count_by_type),
+    "type_counts": _on_log(lambda f: _ranked(report.count_by_type(f), F.desc("findings"), "data_type")),
     "risk_counts": _on_log(report.count_by_risk),
     "source_type_counts": _on_log(report.count_by_source_type),
     "headline": _on_log(report.headline),
     "summary": summary_document,
     "scan_stats": scan_statistics,
-    "finding_order": _on_log(lambda f: report.ordered(f).select("source", "line", "offset", "data_type", "risk")),
+    "finding_order": _on_log(lambda f: report.ranked(f).select("rank", "source", "line", "offset", "data_type", "risk")),
     "severity_topn": _on_log(lambda f: report.findings_table(f, 50)),
     "hidden_findings": _on_log(lambda f: report.hidden_count(f, 50)),
     "risk_gate": _on_log(lambda f: report.risk_gate(f, "medium")),

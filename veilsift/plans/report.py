@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import guard_formula, human_size, location_text
 from ..operators.classify import RISK_RANK, at_least, parse_level, risk_rank
 from ..operators.scan import FINDING_COLUMNS
+from .ordinals import numbered
 
 #: Additive counters of a scan.
 COUNTERS = (
@@ -43,6 +44,11 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*finding_order())
 
 
+def ranked(findings: DataFrame) -> DataFrame:
+    """Findings with their ``rank`` in report order: sorted ranges and sums of their sizes, no global sort (O1)."""
+    return numbered(findings, *finding_order(), number="rank")
+
+
 def count_by_type(findings: DataFrame) -> DataFrame:
     """Most frequent type first (G1)."""
     counts = findings.groupBy("data_type").agg(F.count("*").alias("findings"))
@@ -83,72 +89,40 @@ def scan_stats(target_stats: DataFrame) -> DataFrame:
     return target_stats.agg(*sums, F.count("error").alias("errors"))
 
 
-def _tallies(findings: DataFrame) -> DataFrame:
-    """(dim, key, n) rows of all counts of a summary.
-
-    Findings are aggregated once, before the shuffle by (source, type, risk); each
-    source is then one row with a handful of counts, so no source is hot.
-    """
-    per_source = (
-        findings.groupBy("source_type", "source", "data_type", "risk")
-        .agg(F.count("*").alias("n"))
-        .groupBy("source_type", "source")
-        .agg(F.collect_list(F.struct("data_type", "risk", "n")).alias("counts"))
-    )
-
-    def tally(dim: str, key: Column, n: Column) -> Column:
-        return F.struct(F.lit(dim).alias("dim"), key.alias("key"), n.cast("bigint").alias("n"))
-
-    rows = F.flatten(
-        F.transform(
-            "counts",
-            lambda c: F.array(
-                tally("type", c["data_type"], c["n"]),
-                tally("risk", c["risk"], c["n"]),
-                tally("source_type", F.col("source_type"), c["n"]),
-                tally("total", F.lit(""), c["n"]),
-            ),
-        )
-    )
-    one_source = F.array(tally("sources", F.lit(""), F.lit(1)))
-    return per_source.select(F.inline(F.concat(rows, one_source)))
-
-
-def _stat_tallies(target_stats: DataFrame) -> DataFrame:
-    names = [*COUNTERS, "errors"]
-    row = scan_stats(target_stats)
-    pairs = [F.struct(F.lit("scanned").alias("dim"), F.lit(n).alias("key"), F.col(n).alias("n")) for n in names]
-    return row.select(F.inline(F.array(*pairs)))
+#: How findings are counted for a summary, by the bits of ``grouping_id`` (a column left out is 1).
+_SETS = {3: ["source_type", "source"], 13: ["data_type"], 14: ["risk"], 7: ["source_type"], 15: []}
 
 
 def summary(findings: DataFrame, target_stats: DataFrame | None = None) -> DataFrame:
-    """The summary document as one row (G8): one aggregation of the findings, one of
-    the counters, and a last one over the few sums."""
-    tallies = _tallies(findings)
+    """The summary document as one row (G8), in two exchanges: all counts leave one pass as
+    grouping sets, aggregated before they shuffle, so no source is hot; a last aggregate reads
+    these few rows and the counters side by side."""
+    counts = findings.groupingSets(list(_SETS.values()), "source_type", "source", "data_type", "risk").agg(
+        F.grouping_id().alias("id"), F.count("*").alias("n")
+    )
+    rows = counts.select("id", "n", "source_type", "data_type", "risk")
     if target_stats is not None:
-        tallies = tallies.unionByName(_stat_tallies(target_stats))
-    sums = tallies.groupBy("dim", "key").agg(F.sum("n").alias("n"))
+        rows = rows.unionByName(target_stats.withColumn("id", F.lit(-1)), allowMissingColumns=True)
 
-    def one(dim: str, key: str = "") -> Column:
-        hit = (F.col("dim") == dim) & (F.col("key") == key)
+    def one(number: int, test: Column | None = None) -> Column:
+        hit = F.col("id") == number if test is None else (F.col("id") == number) & test
         return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
 
-    def entries(dim: str, *order: Column) -> Column:
-        return F.collect_list(F.when(F.col("dim") == dim, F.struct(*order, F.col("key").alias("k"), F.col("n").alias("v"))))
-
-    def as_map(pairs: Column) -> Column:
+    def as_map(number: int, key: str, *order: Column) -> Column:
+        pairs = F.collect_list(F.when(F.col("id") == number, F.struct(*order, F.col(key).alias("k"), F.col("n").alias("v"))))
         return F.map_from_entries(F.transform(F.array_sort(pairs), lambda p: F.struct(p["k"], p["v"])))
 
     row = [
-        one("total").alias("total_findings"),
-        F.struct(*[one("risk", r).alias(r) for r in reversed(RISK_RANK)]).alias("by_risk"),
-        as_map(entries("type", (-F.col("n")).alias("o"))).alias("by_type"),
-        as_map(entries("source_type")).alias("by_source_type"),
-        one("sources").alias("sources_with_findings"),
+        one(15).alias("total_findings"),
+        F.struct(*[one(14, F.col("risk") == r).alias(r) for r in reversed(RISK_RANK)]).alias("by_risk"),
+        as_map(13, "data_type", (-F.col("n")).alias("o")).alias("by_type"),
+        as_map(7, "source_type").alias("by_source_type"),
+        F.count_if(F.col("id") == 3).alias("sources_with_findings"),
     ]
     if target_stats is not None:
-        row.append(F.struct(*[one("scanned", c).alias(c) for c in [*COUNTERS, "errors"]]).alias("scanned"))
-    return sums.agg(*row)
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS]
+        row.append(F.struct(*sums, F.count("error").alias("errors")).alias("scanned"))
+    return rows.agg(*row)
 
 
 def severity_top(findings: DataFrame, n: int = 200) -> DataFrame:
