@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any, ClassVar
 
 from .api_keys import api_key_detector
@@ -101,6 +102,19 @@ def _typed(record: type, options: Options | None) -> Any:
     return record(**values)
 
 
+@lru_cache(maxsize=256)
+def _made(record: Any) -> Detector:
+    """Equal options share one detector, and with it the expressions that are kept for it."""
+    return record.detector()
+
+
+def _detector(record: Any) -> Detector:
+    try:
+        return _made(record)
+    except TypeError:  # options of a user's own that cannot be compared
+        return record.detector()
+
+
 def in_order(detectors: Iterable[Detector]) -> tuple[Detector, ...]:
     """Detectors by priority; a name may occur once."""
     by_name: dict[str, Detector] = {}
@@ -126,7 +140,7 @@ def build_detectors(
         if name not in CATALOGUE:
             raise ValueError(f"no detector is named {name!r}; there are {' '.join(CATALOGUE)}")
     records = [_typed(record, settings.get(name)) for name, record in CATALOGUE.items()]
-    return in_order([*(r.detector() for r in records if (r.enabled if asked is None else r.name in asked)), *extra])
+    return in_order([*(_detector(r) for r in records if (r.enabled if asked is None else r.name in asked)), *extra])
 
 
 def all_detectors(**settings: Options) -> tuple[Detector, ...]:
@@ -142,5 +156,5 @@ _redacting: list[tuple[Detector, ...]] = []
 def redaction_detectors() -> tuple[Detector, ...]:
     """The detectors of ``_REDACTING``, made at first use."""
     if not _redacting:
-        _redacting.append(in_order(r.detector() for r in _REDACTING))
+        _redacting.append(in_order(_detector(r) for r in _REDACTING))
     return _redacting[0]

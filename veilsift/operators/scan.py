@@ -145,7 +145,7 @@ def scan_rows(
         "category": F.when(m.isNotNull(), category_of(m["data_type"])),
         "risk": F.when(m.isNotNull(), risk_of(m["data_type"], m["subtype"], overrides)),
         "offset": m["start"] + 1,
-        "masked_value": mask_of(m, detectors),
+        "masked_value": _kept("mask", "m", detectors),
     }
     columns = [finding[c].alias(c) if c in finding else F.col(c) for c in (*FINDING_COLUMNS, *keep)]
     if carry:
@@ -199,7 +199,7 @@ def redact(text: Column, detectors: Iterable[Detector] | None = None) -> Column:
 def _column_of(kind: str, name: str, detectors: tuple[Detector, ...], gateway: int) -> Column:
     """A detection expression over a named column.  It takes seconds to build through
     the gateway and is the same for every DataFrame, so it is kept."""
-    build = {"candidates": candidates, "hint": any_hint, "redact": redact}[kind]
+    build = {"candidates": candidates, "hint": any_hint, "redact": redact, "mask": mask_of}[kind]
     return build(F.col(name), detectors)
 
 
