@@ -546,3 +546,60 @@ def test_a_hot_vector_shrinks_before_it_meets(spark):
     assert ids[1.0, 2.0] == [1, 2, 4, 5, 7] and len(ids) == 1668 and ids[6.0, 0.0] == [6]
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     assert points._jdf.queryExecution().explainString(mode).count("WindowGroupLimit") >= 2  # one of them before the shuffle
+
+
+# the grammar of toxicity
+
+
+def patterns(text):
+    """Which patterns a text emits, by the built-in words."""
+    found = tox.Grammar({}).features(pa.array([text]))[0, : tox.PATTERNS]
+    return {p for p in range(tox.PATTERNS) if found[p] > 0}
+
+
+THREATENED, AIMED, NEGATED, REPORTED = 1, 2, 4, 8
+
+
+def test_targets_aim_from_both_sides_of_a_clause():
+    cases = {
+        "I will kill you now.": {THREATENED + AIMED},
+        "idiot you are": {AIMED},
+        "you idiot": {AIMED},
+        "an idiot. you came late": {0},
+        "an idiot\nyou came late": {0},
+        "an idiot。 you came late": {0},
+        'he wrote "idiot" you': {AIMED + REPORTED},
+        "idiot a b c d e you": {0},
+        "idiot a b c you": {AIMED},
+        "not an idiot": {NEGATED},
+        "she said\nidiot": {0},
+        "she said idiot": {REPORTED + AIMED},
+        "kill a b idiot you": {THREATENED + AIMED, AIMED},
+        "no words of that kind": set(),
+    }
+    assert {text: patterns(text) for text in cases} == cases
+
+
+def test_patterns_tell_what_plain_words_cannot():
+    """The same insults in toxic and clean texts: only patterns tell them apart."""
+    rng = random.Random(11)
+    insults = tox.WORDS[tox.INSULT].split()
+    toxic = ["you {}.", "{} you are.", "shut up {}, you.", "kill you {}."]
+    clean = ["the report said {}.", "it is not {}.", "the film is called {} .", "they wrote that {} is a word."]
+    texts, y = [], []
+    for i in range(1200):
+        label = i % 2
+        filler = ["word " * rng.randint(1, 9) + "." for _ in range(3)]
+        own = [rng.choice(toxic if label else clean).format(rng.choice(insults)) for _ in range(rng.randint(1, 3))]
+        parts = filler + own
+        rng.shuffle(parts)
+        texts.append("\n".join(parts))
+        y.append(label)
+    x, y = tox.Grammar({}).features(pa.array(texts)), np.array(y, float)
+    plain = np.column_stack([np.expm1(x[:, : tox.PATTERNS]).sum(axis=1), x[:, tox.PATTERNS + 1 :]])
+
+    def accuracy(values):
+        w = tox._logistic(values[:800], y[:800])
+        return ((values[800:] @ w > 0) == (y[800:] == 1)).mean()
+
+    assert accuracy(x) > 0.95 and accuracy(plain) < 0.75, (accuracy(x), accuracy(plain))

@@ -4,8 +4,11 @@ Words are read as symbols: insult, threat, target, negation, reporting verb, cla
 other.  Small transducers, one each, follow them: insult and threat emit, target, negation
 and reported speech remember for how long they hold.  Their composition, one table of
 states, emits for every insult or threat a *pattern*: plain or aimed at somebody, negated
-or not, reported or not.  A clause scores the weights it emits by pattern; a document is
-judged by these sums, not by isolated words.
+or not, reported or not.  Targets also stand after the word, so a target transducer reads
+each clause backwards as well, and either of the two aims the pattern.  A clause ends at a
+full stop or its like in any script, at a colon or semicolon and at the end of a line; it
+scores the weights it emits by pattern, and a document is judged by these sums, not by
+isolated words.
 
 Insults are word beginnings of 3 to 8 letters and whole words whose documents are labelled
 toxic far more often than others, with their log odds as weights, besides a short list of
@@ -42,7 +45,11 @@ WORDS = {
     NEGATION: "not no never neither nor isn't aren't wasn't don't doesn't didn't nicht kein keine nie ne jamais nunca tampoco",
     REPORT: "said says say wrote writes quoted quotes reported reports claimed claims called according sagte schrieb dit disait écrit dijo dice escribió",
 }
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¿¡"
+#: A line end, as a word of its own.
+LINE = "\x1e"
+#: What ends a clause at the end of a word, closing quotes and brackets aside.
+CLOSING = r"[.!?;:…。．！？；：।॥؟؛۔።]['\"’”»)\]]*$"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¿¡。．！？；：।॥؟؛۔።"
 _LENGTHS = range(3, 9)
 
 
@@ -95,6 +102,9 @@ def compose(machines: list[Machine]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows), np.array(emits)
 
 
+#: Which machine looks for a target after a word, on the clause read backwards.
+BACKWARDS = holding(TARGET, 4)
+AIMED = 2
 NEXT, EMIT = compose([emitting(INSULT), emitting(THREAT), holding(TARGET, 4), holding(NEGATION, 3), holding(REPORT, None)])
 PATTERNS = 16
 FEATURES = PATTERNS + 4
@@ -104,6 +114,20 @@ def _bare(vocabulary: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.utf8_lower(vocabulary), characters=_MARKS)
 
 
+def _aimed_after(words: list[int], kinds: list[int]) -> set[int]:
+    """The insults and threats of a clause that a target follows; ``words`` are the places of its symbols."""
+    out, state, place = set(), 0, None
+    for word, kind in zip(reversed(words), reversed(kinds)):
+        for _ in range(min(place - word - 1, state) if place is not None else 0):
+            state, _held = BACKWARDS.step(state, OTHER)
+        # a closing word ends the clause after itself, so it is no end on the way back
+        state, held = BACKWARDS.step(state, OTHER if kind == END else kind)
+        if held and kind in (INSULT, THREAT):
+            out.add(word)
+        place = word
+    return out
+
+
 class Grammar:
     """The word lists with learned weights; ``stems`` maps a beginning (``lowe*``) or a word to a weight."""
 
@@ -130,18 +154,19 @@ class Grammar:
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """Per text: log sums of emitted weights by pattern, the largest clause, density, matches, 1."""
-        starts, codes, vocabulary = split_words(texts)
+        starts, codes, vocabulary = split_words(pc.replace_substring(texts, "\n", f" {LINE} "))
         bare = _bare(vocabulary).to_pylist()
-        read = [self.symbol(w) for w in bare]
+        read = [(END, 0.0) if w == LINE else self.symbol(w) for w in bare]
         kinds = np.array([k for k, _ in read], np.int8)
         weights = np.array([w for _, w in read])
-        closes = pc.match_substring_regex(vocabulary, r"[.!?;:…]$").to_numpy(zero_copy_only=False).astype(bool)
+        closes = pc.match_substring_regex(vocabulary, CLOSING).to_numpy(zero_copy_only=False).astype(bool) | (kinds == END)
         out = np.zeros((len(texts), FEATURES))
         out[:, -1] = 1
         symbols = kinds[codes]
         hits = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
         told = np.flatnonzero(symbols != OTHER)
         ends = np.flatnonzero(closes[codes])
+        breaks = np.concatenate(([0], np.cumsum(symbols == END)))  # line ends are no words of a text
         owner = np.searchsorted(starts, hits, side="right") - 1
         for row, own in itertools.groupby(zip(owner.tolist(), hits.tolist()), key=lambda p: p[0]):
             lo, hi = int(starts[row]), int(starts[row + 1])
@@ -153,14 +178,16 @@ class Grammar:
                 first = max(lo, int(ends[k - 1]) + 1 if k else 0)
                 done = min(hi, int(ends[k]) + 1 if k < len(ends) else hi)
                 state, clause, place = 0, 0.0, first
-                for word in told[np.searchsorted(told, first) : np.searchsorted(told, done)].tolist():
+                words = told[np.searchsorted(told, first) : np.searchsorted(told, done)].tolist()
+                aimed = _aimed_after(words, kinds[codes[words]].tolist())
+                for word in words:
                     while place < word and NEXT[state, OTHER] != state:
                         state = NEXT[state, OTHER]
                         place += 1  # once other words change nothing, the rest of them is passed over
                     code = codes[word]
                     emitted = EMIT[state, kinds[code]]
                     if emitted >= 0:
-                        sums[emitted] += weights[code]
+                        sums[emitted | AIMED if word in aimed else emitted] += weights[code]
                         clause += weights[code]
                         count += 1
                     state = NEXT[state, kinds[code]]
@@ -168,7 +195,7 @@ class Grammar:
                 largest = max(largest, clause)
             out[row, :PATTERNS] = np.log1p(sums)
             out[row, PATTERNS] = largest
-            out[row, PATTERNS + 1] = 100 * sums.sum() / (hi - lo + 50)
+            out[row, PATTERNS + 1] = 100 * sums.sum() / (hi - lo - int(breaks[hi] - breaks[lo]) + 50)
             out[row, PATTERNS + 2] = math.log1p(count)
         return out
 
