@@ -168,16 +168,18 @@ HOSTILE = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(HOSTILE))
-def test_hostile_texts_take_linear_time(spark, name):
-    text, secrets, personal = HOSTILE[name]
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+def test_hostile_texts_take_linear_time(spark):
+    names = sorted(HOSTILE)
+    rows = [(i, HOSTILE[name][0]) for i, name in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows), "doc_id")
     began = time.time()
-    assert len(find_secrets(docs).first()["spans"]) == secrets
-    middle = time.time()
-    spans = find_personal_data(docs).first()["spans"]
-    assert {k: n for k in ("email", "ip", "card", "phone") if (n := sum(s["kind"] == k for s in spans))} == personal
-    assert middle - began < 60 and time.time() - middle < 60
+    secrets = {r["doc_id"]: r["n"] for r in find_secrets(docs).select("doc_id", F.size("spans").alias("n")).collect()}
+    kinds = F.transform("spans", lambda s: s["kind"])
+    found = find_personal_data(docs).select("doc_id", kinds.alias("kinds")).collect()
+    personal = {r["doc_id"]: collections.Counter(k for k in r["kinds"] if not k.startswith("found_")) for r in found}
+    for i, name in enumerate(names):
+        assert (secrets[i], dict(personal[i])) == HOSTILE[name][1:], name
+    assert time.time() - began < 240  # the plain forms do not end
 
 
 PLAIN = {
