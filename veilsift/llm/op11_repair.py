@@ -29,8 +29,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from veilsift.plans.ordinals import ranged
 
@@ -218,7 +220,7 @@ def _segments(units: DataFrame) -> DataFrame:
             yield _batch([closed(*key, codes, counts)], names, schema)
 
     told = f"conv_id {kind}, part int, {_PART}"
-    schema = _arrow(units, told)
+    schema = _arrow(told)
     return rows.mapInArrow(parse, told)
 
 
@@ -228,10 +230,7 @@ _PART = (
 )
 
 
-def _arrow(df: DataFrame, told: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
+def _arrow(told: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(told))
 
 
@@ -271,7 +270,7 @@ def _letters(whole: DataFrame) -> DataFrame:
     """Edits that leave a row: ``conv_id, part, nth, at, edit, role`` (``nth`` null: inserted, role null: as it is)."""
     kind = whole.schema["conv_id"].dataType.simpleString()
     told = f"conv_id {kind}, part int, nth long, at long, edit string, new_role string"
-    schema = _arrow(whole, told)
+    schema = _arrow(told)
     step = 1 << 16
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +279,8 @@ def _letters(whole: DataFrame) -> DataFrame:
             size = 0
             for conv, parts, audit in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "parts", "edits"))):
                 letters = np.frombuffer(audit.encode(), np.uint8)
-                ends = np.cumsum([p["rows"] for p in parts])
+                sizes = np.array([p["rows"] for p in parts], np.int64)
+                ends = np.cumsum(sizes)
                 numbers = np.array([p["part"] for p in parts], np.int64)
                 before_rows, before_out, system = 0, 0, bool((letters[letters != 68][:1] == 76).any())
                 for start in range(0, len(letters), step):
@@ -290,7 +290,7 @@ def _letters(whole: DataFrame) -> DataFrame:
                     out = before_out + np.cumsum(is_out) - 1
                     before_rows, before_out = before_rows + int(is_row.sum()), before_out + int(is_out.sum())
                     where = np.searchsorted(ends, np.maximum(row, 0), side="right").clip(max=len(ends) - 1)
-                    nth = row - (ends[where] - np.array([parts[w]["rows"] for w in range(len(parts))])[where])
+                    nth = row - (ends - sizes)[where]
                     user = (out - system) % 2 == 0
                     free = (own == 82) | (own == 73)  # R, I
                     stays = np.nonzero(is_out)[0]
@@ -324,7 +324,7 @@ def repair(conversations: DataFrame) -> Repaired:
     whole = _combined(_segments(units))
     kind = whole.schema["conv_id"].dataType.simpleString()
     told = f"conv_id {kind}, parts array<struct<part:int,rows:long>>, illegal long, cost long, edits string"
-    schema = _arrow(whole, told)
+    schema = _arrow(told)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -356,19 +356,17 @@ def repair(conversations: DataFrame) -> Repaired:
 
 def _applied(units: DataFrame, letters: DataFrame) -> DataFrame:
     """The rows that the edits leave."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     first = F.min("total").over(Window.partitionBy("part", "conv_id"))
     rows = units.select("part", "conv_id", "place", "role", "text", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("total"))
     rows = rows.select(
         F.col("part").alias("p"), F.col("conv_id").alias("c"), (F.col("total") - first).cast("long").alias("row"), "role", "text"
     )
-    kept = letters.where("nth is not null").join(
-        rows, (F.col("part") == F.col("p")) & (F.col("nth") == F.col("row")) & F.col("conv_id").eqNullSafe(F.col("c"))
-    )
-    new = letters.where("nth is null").select("conv_id", "part", "at", F.col("new_role").alias("role"), F.lit("").alias("text"), "edit")
-    return kept.select("conv_id", "part", "at", F.coalesce("new_role", "role").alias("role"), "text", "edit").union(new)
+    same = (F.col("part") == F.col("p")) & (F.col("nth") == F.col("row")) & F.col("conv_id").eqNullSafe(F.col("c"))
+    # an edit is many rows for few bytes of its audit: Spark would take them for a small side and broadcast them
+    met = letters.hint("merge").join(rows, same, "left")
+    # inserted rows meet none
+    return met.select("conv_id", "part", "at", F.coalesce("new_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text"), "edit")
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -377,7 +375,7 @@ def digests(turns: DataFrame) -> DataFrame:
     line = F.concat("role", F.lit(":"), "text").alias("line")
     rows = turns.select("conv_id", "at", line).repartition("conv_id").sortWithinPartitions("conv_id", "at")
     told = f"conv_id {kind}, repaired_sha256 string"
-    schema = _arrow(turns, told)
+    schema = _arrow(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, out, any_row = None, None, [], False
