@@ -196,7 +196,7 @@ def redact(text: Column, detectors: Iterable[Detector] | None = None) -> Column:
 
 
 @lru_cache(maxsize=64)
-def _column_of(kind: str, name: str, detectors: tuple[Detector, ...], gateway: int) -> Column:
+def _column_of(kind: str, name: str, detectors: tuple[Detector, ...], gateway: object) -> Column:
     """A detection expression over a named column.  It takes seconds to build through
     the gateway and is the same for every DataFrame, so it is kept."""
     build = {"candidates": candidates, "hint": any_hint, "redact": redact, "mask": mask_of}[kind]
@@ -204,7 +204,7 @@ def _column_of(kind: str, name: str, detectors: tuple[Detector, ...], gateway: i
 
 
 def _kept(kind: str, name: str, detectors: Sequence[Detector]) -> Column:
-    return _column_of(kind, name, in_order(detectors), id(SparkContext._gateway))
+    return _column_of(kind, name, in_order(detectors), SparkContext._gateway)
 
 
 def redacted(name: str, detectors: Iterable[Detector] | None = None) -> Column:

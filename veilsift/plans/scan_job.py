@@ -272,6 +272,7 @@ def _scan_tables(spark, source: TableSource, detectors, overrides) -> tuple[Data
 def _plan_tables(spark, source: TableSource) -> DataFrame:
     if not source.specs:
         raise ValueError("table source has no tables to scan")
+    # the detail is fixed output
     rows = [
         (
             source.source_type,
@@ -313,7 +314,7 @@ def run_scan(
     the others still run (S20)."""
     chosen = build_detectors() if detectors is None else detectors
     if not chosen:
-        raise ValueError("no detectors are enabled")
+        raise ValueError("a scan needs at least one detector")
     started = datetime.now(timezone.utc)
     found, stats = [_empty(spark, FINDINGS_SCHEMA)], [_empty(spark, report.STATS_SCHEMA)]
     targets, failed = [_empty(spark, TARGETS_SCHEMA)], []

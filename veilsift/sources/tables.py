@@ -39,7 +39,7 @@ class TableSpec:
 def quoted(name: str) -> str:
     """A column or table name as an identifier, whatever characters it holds."""
     if not name or "\x00" in name:
-        raise ValueError(f"invalid SQL identifier: {name!r}")
+        raise ValueError(f"{name!r} cannot name a column or table")
     return "`" + name.replace("`", "``") + "`"
 
 
