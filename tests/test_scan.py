@@ -14,6 +14,8 @@ from veilsift.operators import classify
 from veilsift.operators.detector import python_detector, regex_detector
 from veilsift.operators.registry import DETECTOR_NAMES, all_detectors, build_detectors, in_order
 from veilsift.operators.scan import as_units, redact, redact_logs, redact_table, scan_units
+from veilsift.sources.lines import lines_of
+from veilsift.streaming import stream
 
 
 
@@ -176,3 +178,43 @@ def test_stream(spark, tmp_path):
     assert sorted((r["line"], r["data_type"]) for r in rows) == [
         (1, "credit_card"), (1, "email"), (1, "national_id"), (2, "email"),
     ]
+
+
+def test_counters_and_reports_of_a_stream(spark, tmp_path):
+    """Two runs with more files: counters go on, each run adds a batch, and a batch run again changes nothing."""
+    schema = "name string, text string"
+    batches = [[("p", parcel(1)[0]), ("q", "no data")], [("p", parcel(2)[0] + "\n" + parcel(3)[0]), ("r", parcel(4)[0])]]
+
+    def found():
+        rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        return stream.scan_stream(rows, "text", F.col("name"))
+
+    def run():
+        stream.write_counters(found(), str(tmp_path / "counters"), str(tmp_path / "c1"), once=True).awaitTermination()
+        stream.write_reports(found(), str(tmp_path / "reports"), str(tmp_path / "c2"), once=True).awaitTermination()
+
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    batch = stream.counters(scan_units(lines_of(spark.read.schema(schema).parquet(str(tmp_path / "in")), "text", F.col("name"), "stream"), build_detectors()))
+    latest = stream.read_counters(spark, str(tmp_path / "counters"))
+    assert sorted(map(str, latest.collect())) == sorted(map(str, batch.collect())) and batch.count() == 6
+    reports = spark.read.parquet(str(tmp_path / "reports"))
+    assert reports.count() == 4 * 3 and reports.select("batch").distinct().count() == 2
+    # a failure before a batch is committed runs it again
+    for folder in ("c1", "c2"):
+        commits = sorted((tmp_path / folder / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        commits[-1].unlink()
+        (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    assert sorted(map(str, stream.read_counters(spark, str(tmp_path / "counters")).collect())) == sorted(map(str, batch.collect()))
+    assert spark.read.parquet(str(tmp_path / "reports")).count() == 4 * 3
+
+
+def test_a_stream_is_redacted_like_a_table(spark, tmp_path):
+    rows = [(i, parcel(i)[0]) for i in range(20)] + [(20, None)]
+    spark.createDataFrame(rows, "k int, said string").write.parquet(str(tmp_path / "in"))
+    clean = stream.redact_stream(spark.readStream.schema("k int, said string").parquet(str(tmp_path / "in")), ["said"])
+    stream.write_findings(clean, str(tmp_path / "out"), str(tmp_path / "c"), once=True).awaitTermination()
+    got = {r["k"]: r["said"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: parcel(i)[1] for i in range(20)} | {20: None}

@@ -87,6 +87,17 @@ DERIVED: dict[str, tuple[str, list[list[str]]]] = {
             ]
         ],
     ),
+    # of three tokens one follows a letter, one is too short
+    "pat_texts": (
+        "customer",
+        [
+            [
+                "c_custkey as k",
+                "case when c_custkey % 3 = 0 then 'keyx' else 'key ' end || 'github_' || 'pat_' || "
+                "case when c_custkey % 3 = 1 then substr(md5(c_name), 1, 21) else md5(c_name) || '_' || md5(c_name) end || ' end' as text",
+            ]
+        ],
+    ),
     "tld_texts": (
         "customer",
         [

@@ -16,6 +16,7 @@ from ..operators.emails import is_email
 from ..operators.registry import all_detectors, build_detectors
 from ..operators.scan import redact_logs, redact_table, redacted, scan_rows, scan_units
 from ..sources import files, synth, tables
+from ..sources.lines import lines_of
 from ..sources.spread import spread
 from ..streaming.stream import scan_stream, write_findings
 from . import report
@@ -60,6 +61,17 @@ def _scan_documents(detectors: Callable[[], tuple]) -> Query:
 # ------------------------------------------------------------------ detectors
 
 
+def secrets_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random tokens in all document lines, with a line of its own random token in every document."""
+    key = F.col("doc_id").cast("string")
+    random = F.concat(
+        F.lit("\nkey Zz"), F.substring(F.upper(F.md5(key)), 1, 20), F.lit("pqrstuvwxyz"), F.substring(F.md5(F.concat(key, F.lit("x"))), 1, 8)
+    )
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), random).alias("text")))
+    lines = lines_of(docs, "text", F.concat(F.lit("doc/"), key))
+    return scan_units(lines, _only("api_key")).select(*SHOWN)
+
+
 def email_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_units(document_lines(spark, sf_dir), _only("email"))
     return found.select("source", "line", "offset", "category", "risk", "masked_value")
@@ -469,6 +481,8 @@ QUERIES: dict[str, Query] = {
     "custom_id_findings": _scan_derived("part_texts", lambda: _ids(custom=[CUSTOM_ID])),
     "custom_id_python": _scan_derived("part_texts", lambda: _ids(custom=[CUSTOM_ID_PYTHON])),
     "api_key_provider": _scan_derived("key_texts", lambda: _only("api_key", detect_generic=False)),
+    "secrets_in_documents": secrets_in_documents,
+    "fine_grained_tokens": _places("pat_texts", lambda: _only("api_key", detect_generic=False)),
     "api_key_generic": _scan_derived("token_texts", lambda: _only("api_key")),
     "overlap_resolution": overlap_resolution,
     # functions
