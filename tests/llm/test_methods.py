@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from veilsift.llm.op07_neighbours import op7_nearest, points_of
 from veilsift.llm.op10_decontaminate import decontaminate, find_contamination, tile
 from veilsift.llm.queries import ORACLE_SQL
 from veilsift.llm.trigrams import trigram_query
-from veilsift.llm.word_ids import WordIds, default_path, tokenizer_json
+from veilsift.llm.word_ids import WordIds, _cut_marks, default_path, tokenizer_json
 
 SMALL = "/root/testdata/sf0.001"
 MIDDLE = "/root/testdata/sf0.01"
@@ -603,3 +604,29 @@ def test_patterns_tell_what_plain_words_cannot():
         return ((values[800:] @ w > 0) == (y[800:] == 1)).mean()
 
     assert accuracy(x) > 0.95 and accuracy(plain) < 0.75, (accuracy(x), accuracy(plain))
+
+
+# the memory and the work of tokenizing
+
+
+def test_words_seen_before_need_no_call_each(monkeypatch):
+    words = WordIds(tokenizer_json())
+    texts = pa.array(["one two three four", "two five, six; seven"], pa.string())
+    before = words.batch(texts)
+    asked = []
+    monkeypatch.setattr(words, "of", lambda word: asked.append(word) or b"")
+    after = words.batch(texts)
+    assert not asked and all(np.array_equal(a, b) for a, b in zip(before, after))
+
+
+def test_cutting_at_marks_takes_a_few_bytes_a_character():
+    texts = pa.array(["Some words, and (more) of them. " * 4000] * 20, pa.string())
+    size = texts.nbytes
+    tracemalloc.start()
+    try:
+        cut = _cut_marks(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cut[0].as_py().startswith("some words , and ( more ) of them . ")
+    assert peak < 10 * size, peak / size

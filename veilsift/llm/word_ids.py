@@ -7,6 +7,7 @@ the ids of its words in order.  Each distinct word of a batch is looked up once.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -58,12 +59,9 @@ def _cut_marks(texts: pa.Array) -> pa.Array:
     cut = letter[:-1] & mark[1:] | (mark & (data != 39))[:-1] & letter[1:]
     inner = ends[1:-1]
     cut[inner[(inner > 0) & (inner < len(data))] - 1] = False  # between two texts nothing is put
-    moved = np.arange(len(data) + 1)
-    moved[1:-1] += np.cumsum(cut)
-    moved[-1] += cut.sum()
-    out = np.full(moved[-1], 32, np.uint8)
-    out[moved[:-1]] = data
-    shifted = moved[ends].astype(np.int32)
+    at = np.flatnonzero(cut) + 1
+    out = np.insert(data, at, 32)
+    shifted = (ends + np.searchsorted(at, ends, side="right")).astype(np.int32)
     return pa.StringArray.from_buffers(len(texts), pa.py_buffer(shifted), pa.py_buffer(out))
 
 
@@ -86,6 +84,8 @@ class WordIds:
             raise ValueError("the tokenizer must drop white space")
         self.pattern = regex.compile(_KNOWN)
         self.letters = _byte_letters()
+        #: A word of ASCII letters holds no special token and is one piece.
+        self.plain = self.cuts and not any(s.isalpha() for s in self.specials)
         self.most, self.young, self.old = most, {}, {}
 
     def _put(self, key: str, value: bytes) -> bytes:
@@ -100,7 +100,8 @@ class WordIds:
             found = self.old.get(piece)
             if found is None:
                 spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+                ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
             self._put(piece, found)
         return found
 
@@ -112,6 +113,8 @@ class WordIds:
         found = self.old.get(word)
         if found is not None:
             return self._put(word, found)
+        if self.plain and word.isascii() and word.isalpha():
+            return self._piece(word.lower())
         odd = "<|" in word or any(s in word for s in self.specials) or not word.isprintable()
         if not self.cuts or odd or (not word.isascii() and ("Σ" in word or not unicodedata.is_normalized("NFC", word))):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -122,21 +125,27 @@ class WordIds:
             texts = _cut_marks(texts)
         return split_words(texts)
 
+    def _of_all(self, vocabulary: pa.Array) -> list[bytes]:
+        """The ids of each word; most are in the young cache and need no call of their own."""
+        words = vocabulary.to_numpy(zero_copy_only=False).tolist()
+        parts = list(map(self.young.get, words))
+        for at, found in enumerate(parts):
+            if found is None:
+                parts[at] = self.of(words[at])
+        return parts
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each text start, and all ids."""
         starts, codes, vocabulary = self._split(texts)
-        parts = [self.of(w) for w in vocabulary.to_pylist()]
-        sizes = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        each = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        at = np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], each)
-        return ends[starts], pool[at]
+        if not len(codes):
+            return starts, np.zeros(0, "<u4")
+        ids = pa.array(self._of_all(vocabulary), pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(codes) + 1] >> 2
+        return ends[starts], np.frombuffer(ids.buffers()[2], "<u4")[: ends[-1]]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         starts, codes, vocabulary = self._split(texts)
-        sizes = np.fromiter((len(self.of(w)) >> 2 for w in vocabulary.to_pylist()), np.int64, len(vocabulary))
+        sizes = np.fromiter((len(p) >> 2 for p in self._of_all(vocabulary)), np.int64, len(vocabulary))
         ends = np.concatenate(([0], np.cumsum(sizes[codes])))
         return np.diff(ends[starts])
