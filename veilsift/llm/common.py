@@ -30,7 +30,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system: workers live on and share an executor's memory."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -48,7 +48,7 @@ def sliced(batches, most_bytes: int = 1 << 23):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-        _give_back()
+        give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, texts_of, written
+from .common import give_back, sliced, texts_of, written
 from .word_ids import WordIds, tokenizer_json
 
 TIERS = (512, 1024, 2048, 4096)
@@ -171,6 +171,8 @@ def pack(
         yield _table(
             [(d, s, len(i) // 4, None, n, None, None, None, None, i, part, True) for d, s, i, n in waiting], extra
         )
+        del words, packer, waiting
+        give_back()  # an idle worker would hold the vocabulary and its cache beside those of the busy ones
 
     def second(table: pa.Table) -> pa.Table:
         base = (1 << 62) + (table.column("bundle")[0].as_py() << 32)
