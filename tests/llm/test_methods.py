@@ -630,3 +630,23 @@ def test_cutting_at_marks_takes_a_few_bytes_a_character():
         tracemalloc.stop()
     assert cut[0].as_py().startswith("some words , and ( more ) of them . ")
     assert peak < 10 * size, peak / size
+
+
+def test_clauses_are_read_from_both_ends():
+    rng, grammar = random.Random(9), tox.Grammar({})
+    words = ["idiot", "kill", "you", "not", "said", *["so"] * 40, "so."]
+    cases = [f"they said {'so ' * 90}idiot", "idiot so so so you", "idiot so so so so you", "", "idiot so. you"]
+    cases += [" ".join(rng.choices(words, k=rng.randint(0, 400))) for _ in range(200)]
+    for text, own in zip(cases, grammar.features(pa.array(cases, pa.string()))):
+        sums, largest = np.zeros(tox.PATTERNS), 0.0
+        for part in re.findall(r"[^.]+", text):
+            read, state, clause = [grammar.symbol(w) for w in part.split()], 0, 0.0
+            for at, (kind, weight) in enumerate(read):
+                pattern = tox.EMIT[state, kind]
+                if pattern >= 0:
+                    followed = any(k == tox.TARGET for k, _ in read[at + 1 : at + 5])
+                    sums[pattern | tox.AIMED if followed else pattern] += weight
+                    clause += weight
+                state = tox.NEXT[state, kind]
+            largest = max(largest, clause)
+        assert np.allclose(own[: tox.PATTERNS], np.log1p(sums)) and own[tox.PATTERNS] == largest, text
